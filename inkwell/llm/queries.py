@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import near, sets
+from inkwell.llm import encoding, near, sets
 from inkwell.sources.tables import first_per_key, table
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     questions = first_per_key(table(spark, root, "question_knowledge").select("question_id", "abilities", "received_at"), "question_id")
     cards = first_per_key(table(spark, root, "knowledge_cards").select("card_id", "metadata.abilities", "metadata.question_types", "received_at"), "card_id")
-    abilities = questions.select(F.col("question_id").alias("key"), sets.normal_set(F.col("abilities")).alias("items")).unionByName(
-        cards.select(F.col("card_id").alias("key"), sets.normal_set(F.col("abilities")).alias("items"))
-    )
-    types = cards.select(F.col("card_id").alias("key"), sets.normal_set(F.col("question_types")).alias("items"))
-    out = [
-        sets.similar_pairs(records, 0.6).select(F.lit(name).alias("set_name"), F.col("left").alias("left_id"), F.col("right").alias("right_id"))
-        for name, records in (("abilities", abilities), ("question_types", types))
-    ]
-    return out[0].unionByName(out[1])
+
+    def named(rows: DataFrame, name: str, key: str, column: str) -> DataFrame:
+        """Key and members carry the set's name, so that one join serves all sets."""
+        items = F.transform(sets.normal_set(F.col(column)), lambda x: F.concat(F.lit(name + "="), x))
+        return rows.select(F.concat(F.lit(name + "="), F.col(key)).alias("key"), items.alias("items"))
+
+    records = named(questions, "abilities", "question_id", "abilities").unionByName(named(cards, "abilities", "card_id", "abilities")).unionByName(named(cards, "question_types", "card_id", "question_types"))
+    pairs = sets.similar_pairs(records, 0.6)
+    return pairs.select(F.substring_index("left", "=", 1).alias("set_name"), F.expr("substr(left, instr(left, '=') + 1)").alias("left_id"), F.expr("substr(right, instr(right, '=') + 1)").alias("right_id"))
 
 
 def p4_records(spark: SparkSession, root: str) -> DataFrame:
@@ -33,5 +33,14 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return near.near_pairs(p4_records(spark, root), 0.6).select(F.col("left").alias("left_id"), F.col("right").alias("right_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found}
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return encoding.repair_encoding(table(spark, root, "page_texts"), "page_key", "text").select(F.col("key").alias("page_key")).distinct()
+
+
+def p5_restored(spark: SparkSession, root: str) -> DataFrame:
+    pages = first_per_key(table(spark, root, "page_texts").select("page_key", "text", "received_at"), "page_key")
+    return encoding.repair_encoding(pages, "page_key", "text").withColumnRenamed("key", "page_key")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_restored": p5_restored}
 SQL: dict[str, str] = {}

@@ -10,14 +10,18 @@ candidates that each l would make; any choice gives the same result, all candida
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from inkwell.plans.cut import cut
 from inkwell.plans.pairs import expand_class_pairs, salted_self_pairs
 
 #: Longest prefix for which combinations of two, of three members are considered.
 PREFIX_FOR = {2: 12, 3: 8}
+#: What a candidate costs against a key: it fetches two sets and compares them.
+CANDIDATE = 4
 
 
 def normal_set(col: Column) -> Column:
@@ -30,23 +34,17 @@ def _needed(theta: float, a: Column, b: Column) -> Column:
     return F.ceil(F.lit(theta / (1 + theta)) * (a + b) - 1e-9).cast("int")
 
 
-def _combos(prefix: Column, n: int) -> Column:
-    """Hashes of all n-member combinations of an array (order of the array kept)."""
-    last = F.size(prefix)
-    if n == 1:
-        return F.transform(prefix, lambda x: F.xxhash64(x))
-
-    def seq(a, b):
-        return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-
-    if n == 2:
-        return F.flatten(F.transform(seq(F.lit(1), last - 1), lambda i: F.transform(seq(i + 1, last), lambda j: F.xxhash64(F.element_at(prefix, i), F.element_at(prefix, j)))))
-    return F.flatten(
-        F.transform(
-            seq(F.lit(1), last - 2),
-            lambda i: F.flatten(F.transform(seq(i + 1, last - 1), lambda j: F.transform(seq(j + 1, last), lambda k: F.xxhash64(F.element_at(prefix, i), F.element_at(prefix, j), F.element_at(prefix, k))))),
-        )
-    )
+def _keys(of: DataFrame, l: int) -> DataFrame:
+    """One row per l-member combination of the l-prefix of each row's members t."""
+    p = of.withColumn("p", F.least(F.col("n"), F.col("n") - F.col("need") + l)).where(F.col("p") >= l)
+    at = lambda c: F.element_at("t", F.col(c))
+    p = p.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("p") - (l - 1))))
+    if l > 1:
+        p = p.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("p") - (l - 2))))
+    if l > 2:
+        p = p.withColumn("h", F.explode(F.sequence(F.col("j") + 1, F.col("p"))))
+    k = F.xxhash64(*[at(c) for c in "ijh"[:l]])
+    return p.select("class", "n", "u", "v", k.alias("k"))
 
 
 def similar_classes(records: DataFrame, theta: float = 0.6) -> tuple[DataFrame, DataFrame]:
@@ -58,10 +56,11 @@ def similar_classes(records: DataFrame, theta: float = 0.6) -> tuple[DataFrame,
     """
     rec = records.where(F.col("key").isNotNull() & (F.size("items") > 0)).select("key", F.array_sort(F.array_distinct("items")).alias("items"))
     rec = rec.withColumn("class", F.xxhash64("items", F.size("items")))
-    members = rec.select("class", "key").distinct()
-    sets = rec.groupBy("class").agg(F.first("items").alias("items"))
+    members = cut(rec.select("class", "key", "items")).select("class", "key", "items")
+    sets = members.groupBy("class").agg(F.first("items").alias("items"))
+    members = members.select("class", "key").distinct()
     df = sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"))
-    ordered = (
+    ordered = cut(
         sets.select("class", F.explode("items").alias("item")).join(df, "item")
         .groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "item"))), lambda x: F.xxhash64(x["item"])).alias("t"))
         .withColumn("n", F.size("t"))
@@ -70,18 +69,22 @@ def similar_classes(records: DataFrame, theta: float = 0.6) -> tuple[DataFrame,
     lo, hi = F.ceil(F.col("n") * theta - 1e-9), F.floor(F.col("n") / theta + 1e-9)
     # The sizes that occur are few; a record meets only those that can be alike.
     spread = ordered.join(F.broadcast(sizes), F.col("m").between(lo, hi), "inner").withColumn("need", _needed(theta, F.col("n"), F.col("m")))
-    keys = []
+    spread = spread.withColumn("u", F.least("n", "m")).withColumn("v", F.greatest("n", "m"))
+
+    # A longer prefix is tried for the pairs of sizes in which the shorter one makes more candidates
+    # than keys; it is chosen where it costs less.
+    choice = None
+    open_ = spread
     for l in (1, 2, 3):
-        base = spread.where(F.col("need") >= l).withColumn("p", F.slice("t", 1, F.least(F.col("n"), F.col("n") - F.col("need") + l)))
-        if l > 1:
-            base = base.where(F.greatest("n", "m") - F.col("need") + l <= PREFIX_FOR[l])
-        keys.append(base.select("class", "n", "m", F.lit(l).alias("l"), F.explode(_combos(F.col("p"), l)).alias("k")))
-    every = keys[0].unionByName(keys[1]).unionByName(keys[2]).withColumn("u", F.least("n", "m")).withColumn("v", F.greatest("n", "m"))
-    counted = every.groupBy("u", "v", "l", "k").agg(F.count_if(F.col("n") == F.col("u")).alias("x"), F.count_if(F.col("n") == F.col("v")).alias("y"))
-    # A candidate costs as much as some four keys: it fetches two sets and compares them.
-    cost = counted.groupBy("u", "v", "l").agg((F.sum(F.col("x") + F.col("y")) + 4 * F.sum(F.col("x") * F.col("y"))).alias("c"))
-    choice = cost.groupBy("u", "v").agg(F.min_by("l", F.struct("c", "l")).alias("l"))
-    chosen = every.join(F.broadcast(choice), ["u", "v", "l"])
+        counted = _keys(open_, l).groupBy("u", "v", "k").agg(F.count_if(F.col("n") == F.col("u")).alias("x"), F.count_if(F.col("n") == F.col("v")).alias("y"))
+        made = counted.groupBy("u", "v").agg(F.sum(F.col("x") + F.col("y")).alias("keys"), F.sum(F.col("x") * F.col("y")).alias("pairs"))
+        made = made.select("u", "v", F.lit(l).alias("l"), (F.col("keys") + CANDIDATE * F.col("pairs")).alias("cost"), (F.col("pairs") > F.col("keys")).alias("more"))
+        choice = cut(made if choice is None else choice.unionByName(made))
+        if l < 3:
+            more = choice.where((F.col("l") == l) & F.col("more")).select("u", "v")
+            open_ = spread.join(F.broadcast(more), ["u", "v"]).where((F.col("need") > l) & (F.col("v") - F.col("need") + l + 1 <= PREFIX_FOR[l + 1]))
+    best = F.broadcast(choice.groupBy("u", "v").agg(F.min_by("l", F.struct("cost", "l")).alias("l")))
+    chosen = reduce(DataFrame.unionByName, [_keys(spread.join(best.where(F.col("l") == l), ["u", "v"]), l) for l in (1, 2, 3)])
     left = chosen.where("n = u").select("u", "v", "k", F.col("class").alias("a"))
     right = chosen.where("n = v").select("u", "v", "k", F.col("class").alias("b"))
     cand = left.join(right, ["u", "v", "k"]).where((F.col("u") < F.col("v")) | (F.col("a") < F.col("b"))).select("a", "b").distinct()
@@ -89,7 +92,7 @@ def similar_classes(records: DataFrame, theta: float = 0.6) -> tuple[DataFrame,
     checked = cand.join(own.select(F.col("class").alias("a"), F.col("t").alias("ta")), "a").join(own.select(F.col("class").alias("b"), F.col("t").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
     alike = both >= theta * (F.size("ta") + F.size("tb") - both) - 1e-9
-    return checked.where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), members
+    return cut(checked.where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), members
 
 
 def similar_pairs(records: DataFrame, theta: float = 0.6) -> DataFrame:
