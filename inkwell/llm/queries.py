@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import encoding, near, sets
+from inkwell.llm import encoding, leak, lookalike, near, sets, spam
 from inkwell.sources.tables import first_per_key, table
 
 
@@ -42,5 +42,47 @@ def p5_restored(spark: SparkSession, root: str) -> DataFrame:
     return encoding.repair_encoding(pages, "page_key", "text").withColumnRenamed("key", "page_key")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_restored": p5_restored}
+def p2_records(spark: SparkSession, root: str) -> DataFrame:
+    """(name, key, text) of the three tables; late duplicates are equal, so any one of them will do."""
+    out = None
+    for name, key, text in (("page_texts", "page_key", "text"), ("question_candidates", "candidate_key", "text"), ("knowledge_cards", "card_id", "body")):
+        own = table(spark, root, name).select(F.lit(name).alias("name"), F.col(key).alias("key"), F.col(text).alias("text"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return lookalike.look_alike_pairs(p2_records(spark, root)).select(F.col("name").alias("table_name"), F.col("left").alias("left_key"), F.col("right").alias("right_key"))
+
+
+def p2_canonical_cards(spark: SparkSession, root: str) -> DataFrame:
+    """Each card's body in its one form, and whether that differs from what is stored."""
+    cards = first_per_key(table(spark, root, "knowledge_cards").select("card_id", "body", "received_at"), "card_id")
+    one = cards.select("card_id", "body", lookalike.canonical_text("body").alias("canonical"))
+    return one.select("card_id", "canonical", (~F.col("body").eqNullSafe(F.col("canonical"))).alias("changed"))
+
+
+def p7_leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leak.leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).withColumn("score", F.round("score", 4))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return leak.leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return spam.stuffed_pages(table(spark, root, "documents")).select("doc_id").distinct()
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_canonical_cards": p2_canonical_cards,
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_restored": p5_restored,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p9_found": p9_found,
+}
 SQL: dict[str, str] = {}
