@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import encoding, leak, lookalike, near, sets, spam
+from inkwell.llm import encoding, leak, lookalike, near, residue, sets, spam
 from inkwell.sources.tables import first_per_key, table
 
 
@@ -62,6 +62,15 @@ def p2_canonical_cards(spark: SparkSession, root: str) -> DataFrame:
     return one.select("card_id", "canonical", (~F.col("body").eqNullSafe(F.col("canonical"))).alias("changed"))
 
 
+def p6_records(spark: SparkSession, root: str) -> DataFrame:
+    cards = table(spark, root, "knowledge_cards").select(F.lit("knowledge_cards").alias("name"), F.col("card_id").alias("key"), F.col("body").alias("text"))
+    return cards.unionByName(table(spark, root, "blocks").select(F.lit("blocks").alias("name"), F.col("block_key").alias("key"), "text"))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return residue.residue_records(p6_records(spark, root)).select(F.col("name").alias("table_name"), F.col("key").alias("record_key")).distinct()
+
+
 def p7_leaks(spark: SparkSession, root: str) -> DataFrame:
     return leak.leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).withColumn("score", F.round("score", 4))
 
@@ -81,6 +90,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
+    "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p9_found": p9_found,
