@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import encoding, leak, lookalike, near, residue, sets, spam
+from inkwell.llm import encoding, leak, lookalike, mix, near, residue, scan, sets, spam
 from inkwell.sources.tables import first_per_key, table
 
 
@@ -23,6 +23,16 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return pairs.select(F.substring_index("left", "=", 1).alias("set_name"), F.expr("substr(left, instr(left, '=') + 1)").alias("left_id"), F.expr("substr(right, instr(right, '=') + 1)").alias("right_id"))
 
 
+def p3_records(spark: SparkSession, root: str) -> DataFrame:
+    pages = table(spark, root, "page_texts").select(F.lit("page_texts").alias("name"), F.col("page_key").alias("key"), F.col("doc_id").alias("doc"), F.col("page_no").alias("page"), "text", F.lit(False).alias("inside"))
+    questions = table(spark, root, "question_candidates").select(F.lit("question_candidates").alias("name"), F.col("candidate_key").alias("key"), F.col("doc_id").alias("doc"), F.col("page_start").alias("page"), "text", F.lit(True).alias("inside"))
+    return pages.unionByName(questions)
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return scan.scan_noise(p3_records(spark, root)).select(F.col("name").alias("table_name"), F.col("key").alias("record_key"), F.col("kind").alias("noise_kind"))
+
+
 def p4_records(spark: SparkSession, root: str) -> DataFrame:
     rows = first_per_key(table(spark, root, "candidate_knowledge").select("candidate_id", "title", "statement", "received_at"), "candidate_id")
     text = F.concat(F.coalesce("title", F.lit("")), F.coalesce("statement", F.lit("")))
@@ -79,6 +89,19 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return leak.leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Target and actual share of each source, counted over the selection itself."""
+    taken, shares = mix.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+    real = taken.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("taken_tokens"), F.max("copies").alias("most_copies"))
+    return shares.join(real, "source", "left").select(
+        "source", "target_share", "max_repeats", "documents", "tokens", F.round("epochs", 6).alias("epochs"), F.coalesce("taken_tokens", F.lit(0)).alias("taken_tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.round("actual_share", 6).alias("actual_share")
+    )
+
+
+def p8_selection(spark: SparkSession, root: str) -> DataFrame:
+    return mix.mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))[0]
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return spam.stuffed_pages(table(spark, root, "documents")).select("doc_id").distinct()
 
@@ -87,12 +110,15 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_canonical_cards": p2_canonical_cards,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p8_selection": p8_selection,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
 }
 SQL: dict[str, str] = {}
