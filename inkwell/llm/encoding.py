@@ -37,7 +37,8 @@ def _vocabulary() -> list[str]:
                 chars.append(bytes([0xA0 + row, 0xA0 + cell]).decode("gb2312"))
             except UnicodeDecodeError:
                 pass
-    chars += [chr(c) for c in range(0xA1, 0x250) if unicodedata.category(chr(c))[0] in "LPS"] + [chr(c) for c in range(0x2010, 0x2040)]
+    # What a first wrong reading gives is in the vocabulary too: controls, Latin letters and signs.
+    chars += [chr(c) for c in (*range(0x80, 0x250), 0x2C6, 0x2DC, *range(0x2010, 0x2040))]
     chars += [chr(c) for c in (*range(0x386, 0x3CF), *range(0x401, 0x452))] + ["€", "™", "〇"]
     return list(dict.fromkeys(chars))
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.llm.arrays import code_points, strings
+from inkwell.plans.cut import cut
 from inkwell.plans.pairs import salted_self_pairs
 
 #: Letters of other scripts with the shape of a Latin letter (fixed values).
@@ -172,9 +173,9 @@ def canonical_digests(records: DataFrame) -> DataFrame:
             q["canon"] = [_digest(t) for t, f in zip(c, full) if f]
             yield q
 
-    return records.where("key is not null and text is not null").mapInPandas(run, "name string, key string, raw binary, canon binary")
+    return records.where("key is not null and text is not null").select("name", "key", "text").mapInPandas(run, "name string, key string, raw binary, canon binary")
 
 
 def look_alike_pairs(records: DataFrame) -> DataFrame:
     """(name, left, right): keys of one table whose texts differ as stored and look the same."""
-    return salted_self_pairs(canonical_digests(records), ["name", "canon"], "key", differ="raw").select("name", "left", "right")
+    return salted_self_pairs(cut(canonical_digests(records)), ["name", "canon"], "key", differ="raw").select("name", "left", "right")

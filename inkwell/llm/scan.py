@@ -347,7 +347,7 @@ def scan_noise(records: DataFrame) -> DataFrame:
     Null keys and null or empty texts give no row; a null doc has no running titles, a null page no
     page numbers; repeated rows count once.
     """
-    records = records.where("key is not null and text is not null and text <> ''")
+    records = records.where("key is not null and text is not null and text <> ''").select("name", "key", "doc", F.col("page").cast("int").alias("page"), "text", "inside")
     lines = cut(scan_lines(records, corpus_counts(records)))
     titles = cut(running_titles(lines.where("doc is not null")))
     each = lines.select("name", "key", "doc", F.explode("lines").alias("l"))
