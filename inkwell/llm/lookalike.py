@@ -57,7 +57,8 @@ def _invisible(cp: int) -> bool:
 
 @lru_cache(None)
 def _tables():
-    """(start, length, flat expansions, combining class, keys and values of compositions)."""
+    """(first code point and length of each expansion, where it starts in the flat list, that list,
+    combining classes, keys and values of compositions)."""
 
     def full(cp: int) -> list[int]:
         ch = chr(cp)
@@ -79,8 +80,9 @@ def _tables():
             parts = [int(x, 16) for x in d.split()]
         return [y for x in parts for y in full(x)]
 
-    length = np.ones(_END, np.int64)
-    start = np.arange(_END, dtype=np.int64)
+    length = np.ones(_END, np.uint8)
+    first = np.arange(_END, dtype=np.uint32)
+    start = np.zeros(_END, np.int32)
     flat: list[int] = []
     compose: dict[int, int] = {}
     for cp in range(0xA0, _END):
@@ -89,7 +91,7 @@ def _tables():
             continue
         e = full(cp)
         if e != [cp]:
-            start[cp], length[cp] = _END + len(flat), len(e)
+            start[cp], length[cp], first[cp] = len(flat), len(e), e[0] if e else 0
             flat += e
         d = unicodedata.decomposition(ch)
         if d and d[0] != "<" and len(d.split()) == 2 and unicodedata.normalize("NFC", ch) == ch:
@@ -101,25 +103,32 @@ def _tables():
     for cp in range(0x300, 0x1F000):
         if c := unicodedata.combining(chr(cp)):
             ccc[cp] = c
-    return start, length, np.concatenate([np.arange(_END, dtype=np.uint32), np.array(flat, np.uint32)]), ccc, keys, np.array([compose[k] for k in keys.tolist()], np.uint32)
+    return first, length, start, np.array(flat, np.uint32), ccc, keys, np.array([compose[k] for k in keys.tolist()], np.uint32)
 
 
 def canonical(texts) -> list[str]:
     """The texts in one consistent form; None becomes the empty text. Idempotent."""
-    start, length, flat, ccc, keys, values = _tables()
+    first, length, start, flat, ccc, keys, values = _tables()
     cps, offsets = code_points(texts)
-    high = cps >= _END  # beyond the planes that have mappings
-    own = np.where(high, 0, cps)
-    n = length[own]
-    if high.any():
-        n[high] = 1
-    total = np.concatenate([[0], np.cumsum(n)])
-    src = np.repeat(start[own], n) + (np.arange(total[-1]) - np.repeat(total[:-1], n))
-    out = flat[src]
-    if high.any():
-        out[total[:-1][high]] = cps[high]
-    offsets = total[offsets]
-    cc = np.where(out < _END, ccc[np.minimum(out, _END - 1)], 0)
+    high = len(cps) and int(cps.max()) >= _END  # beyond the planes that have mappings
+    own = np.where(cps < _END, cps, 0) if high else cps
+    n, out = length[own], first[own]
+    if high:
+        n[cps >= _END], out[cps >= _END] = 1, cps[cps >= _END]
+    if n.size and (n.min() == 0 or n.max() > 1):
+        total = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=total[1:])
+        offsets = total[offsets]
+        kept = n > 0
+        many = np.flatnonzero(n > 1)
+        out = out[kept]
+        if len(many):  # the further code points of an expansion go behind its first
+            more = n[many].astype(np.int64) - 1
+            ahead = np.cumsum(more) - more
+            src = np.repeat(start[own[many]].astype(np.int64) + 1 - ahead, more) + np.arange(more.sum())
+            place = np.repeat(np.cumsum(kept)[many], more)
+            out = np.insert(out, place, flat[src])
+    cc = ccc[np.minimum(out, _END - 1)] if high else ccc[out]
     marks = np.flatnonzero(cc)
     if len(marks):
         text = np.searchsorted(offsets, marks, "right")

@@ -33,6 +33,12 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return scan.scan_noise(p3_records(spark, root)).select(F.col("name").alias("table_name"), F.col("key").alias("record_key"), F.col("kind").alias("noise_kind"))
 
 
+def p3_repaired(spark: SparkSession, root: str) -> DataFrame:
+    """Every page and question in continuous paragraphs."""
+    fixed = scan.repaired_texts(p3_records(spark, root)).select(F.col("name").alias("table_name"), F.col("key").alias("record_key"), "text", "changed")
+    return fixed.distinct()
+
+
 def p4_records(spark: SparkSession, root: str) -> DataFrame:
     rows = first_per_key(table(spark, root, "candidate_knowledge").select("candidate_id", "title", "statement", "received_at"), "candidate_id")
     text = F.concat(F.coalesce("title", F.lit("")), F.coalesce("statement", F.lit("")))
@@ -111,6 +117,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_canonical_cards": p2_canonical_cards,
     "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_restored": p5_restored,

@@ -29,7 +29,7 @@ from inkwell.llm.arrays import code_points, mix64
 from inkwell.llm.lookalike import canonical
 from inkwell.plans.cut import cut
 
-BUCKETS = 1 << 20
+BUCKETS = 1 << 21
 #: Characters that scanners confuse (fixed values): true, read. Each pair holds in both directions.
 CONFUSED = (
     "人入 石右 主王 料科 题題 没设 问间 证诬 句旬 语诏 船般 材村 时吋 看着 木术 候侯 未末 天夭 己已 已巳 土士 日曰 目自 大太 千干 干于 今令 鸟乌 白自 "
@@ -46,6 +46,7 @@ SIDE_RATIO, SIDE_LEAST = 0.03, 40
 WORD_RATIO, WORD_LEAST = 0.08, 12
 HYPHENS = "-‐‑­¬"
 SPLIT_WORD = re.compile(rf"([^\W\d_]+)[{HYPHENS}][ \t​-‏⁠﻿]*\n[ \t]*([^\W\d_]+)")
+MARKED_END = re.compile(rf"[{HYPHENS}][ \t​-‏⁠﻿]*\n")
 WRAPPED_WORD = re.compile(r"(?<=[^\W\d_])[-¬]\n(?=[a-zà-ɏ])")
 LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏ0-9]*[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ0-9]*")
 DIGIT_INSIDE = re.compile(r"(?:[a-zà-ɏ]|^)[a-zà-ɏ]*[a-zà-ɏ][01569][a-zà-ɏ]|^[01569][a-zà-ɏ]{3,}|[a-zà-ɏ]{3,}[01569]$")
@@ -62,17 +63,19 @@ TITLE_PAGES, TITLE_SHARE, TITLE_EDITS = 2, 0.2, 2
 
 
 @lru_cache(None)
-def _confusions() -> tuple[dict[int, list[int]], np.ndarray]:
+def _confusions() -> tuple[dict[int, list[int]], np.ndarray, np.ndarray]:
     table: dict[int, set[int]] = {}
     for pair in CONFUSED:
         a, b = map(ord, pair)
         if a != b:
             table.setdefault(a, set()).add(b)
             table.setdefault(b, set()).add(a)
-    known = np.zeros(0x10000, bool)
-    known[list(table)] = True
+    doubtful = np.zeros(0x10000, bool)  # signs that may have been read for another one
+    doubtful[list(table)] = True
+    doubtful[0xE000 : 0xE000 + len(_PRIVATE)] = True
+    known = doubtful.copy()
     known[[ord(c) for c in SPLIT]] = True
-    return {k: sorted(v) for k, v in table.items()}, known
+    return {k: sorted(v) for k, v in table.items()}, known, doubtful
 
 
 def _hash3(kind: int, a, b, c):
@@ -102,13 +105,12 @@ def _flow(text: str) -> str:
     return text
 
 
-def _contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _contexts(texts: list[str], only_doubtful: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(positions of confusable signs, code points, kind-wise buckets [3, n]) over padded texts."""
     cps, _ = code_points(["\n\n" + t + "\n\n" for t in texts])
     cps = cps.astype(np.int64)
-    _, known = _confusions()
-    low = np.minimum(cps, 0xFFFF)
-    at = np.flatnonzero((known[low] & (cps < 0x10000)) | ((cps >= 0xE000) & (cps < 0xE000 + len(_PRIVATE))))
+    _, known, doubtful = _confusions()
+    at = np.flatnonzero((doubtful if only_doubtful else known)[np.minimum(cps, 0xFFFF)])
     x = cps[at]
     return at, cps, np.stack([_hash3(1, cps[at - 2], cps[at - 1], x), _hash3(2, cps[at - 1], x, cps[at + 1]), _hash3(3, x, cps[at + 1], cps[at + 2])]) if len(at) else np.empty((3, 0), np.int64)
 
@@ -145,7 +147,7 @@ def corpus_counts(records: DataFrame) -> np.ndarray:
 
 
 def _candidates(x: int) -> list[int]:
-    table, _ = _confusions()
+    table = _confusions()[0]
     own = list(table.get(x, ()))
     if 0xE000 <= x < 0xE000 + len(_PRIVATE):
         own.append(ord(list(SPLIT)[x - 0xE000]))
@@ -155,17 +157,17 @@ def _candidates(x: int) -> list[int]:
 def _misread_signs(texts: list[str], counts: np.ndarray) -> list[dict[int, int]]:
     """Per text in flow form: position -> decoded code point, of the signs the channel corrects."""
     out: list[dict[int, int]] = [{} for _ in texts]
-    at, cps, buckets = _contexts(texts)
+    at, cps, buckets = _contexts(texts, only_doubtful=True)
     if not len(at):
         return out
     seen = counts[buckets]
     # All alternatives of all positions at once; few survive.
-    table = {int(x): _candidates(int(x)) for x in np.unique(cps[at])}
-    most = max(map(len, table.values()))
+    signs, which = np.unique(cps[at], return_inverse=True)
+    table = [_candidates(int(x)) for x in signs]
     starts = np.cumsum([0] + [len(t) + 4 for t in texts])
     better: dict[int, list[tuple[float, int]]] = {}
-    for k in range(most):
-        c = np.array([table[int(x)][k] if len(table[int(x)]) > k else 0 for x in cps[at]], np.int64)
+    for k in range(max(map(len, table))):
+        c = np.array([t[k] if len(t) > k else 0 for t in table], np.int64)[which]
         ok = c > 0
         i, c = at[ok], c[ok]
         alt = counts[np.stack([_hash3(1, cps[i - 2], cps[i - 1], c), _hash3(2, cps[i - 1], c, cps[i + 1]), _hash3(3, c, cps[i + 1], cps[i + 2])])]
@@ -312,7 +314,7 @@ def scan_lines(records: DataFrame, counts: np.ndarray) -> DataFrame:
             rows = []
             for name, key, doc, page, raw, inside, text, sign in zip(p["name"], p["key"], p["doc"], p["page"], p["text"], p["inside"], texts, signs):
                 page = None if page is None or page != page else int(page)
-                hyphen = any(is_split_word(m[1], m[2], words) for m in SPLIT_WORD.finditer(raw)) if "\n" in raw else False
+                hyphen = bool(MARKED_END.search(raw)) and any(is_split_word(m[1], m[2], words) for m in SPLIT_WORD.finditer(raw))
                 misread = bool(sign)
                 flat = [l.strip() for l in text.split("\n") if l.strip()]
                 edge = range(len(flat)) if inside else sorted({*range(min(EDGE_LINES, len(flat))), *range(max(0, len(flat) - EDGE_LINES), len(flat))})
@@ -320,11 +322,17 @@ def scan_lines(records: DataFrame, counts: np.ndarray) -> DataFrame:
                 for i in edge:
                     line = flat[i]
                     if len(line) <= LONGEST_TITLE:
-                        sig, number = title_parts(line, page)
-                        if number and not sig or len(sig) >= 3 and not LIST_ITEM.match(line) and not SENTENCE_END.search(line):
-                            lines.append((sig, number))
+                        if NUMBER_LINE.match(line):
+                            sig, number = title_parts(line, page)
+                            if number:
+                                lines.append(("", True))
+                        elif not SENTENCE_END.search(line) and not LIST_ITEM.match(line):
+                            sig, number = title_parts(line, page)
+                            if len(sig) >= 3:
+                                lines.append((sig, number))
                 if not misread:
-                    misread = bool(words.wrong(set(LATIN_WORD.findall(WRAPPED_WORD.sub("", text)))))
+                    plain = WRAPPED_WORD.sub("", text) if "-\n" in text or "¬\n" in text else text
+                    misread = bool(words.wrong(set(LATIN_WORD.findall(plain))))
                 rows.append((name, key, doc, page, hyphen, misread, lines))
             yield pd.DataFrame(rows, columns=["name", "key", "doc", "page", "hyphen", "misread", "lines"])
 
@@ -360,3 +368,84 @@ def scan_noise(records: DataFrame) -> DataFrame:
         .unionByName(lines.where("misread").select("name", "key", F.lit("misread").alias("kind")))
         .distinct()
     )
+
+
+def _near(a: str, b: str, most: int) -> bool:
+    """Whether at most `most` edits lead from a to b."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1] <= most
+
+
+def _joined(lines: list[str]) -> list[str]:
+    """Lines that only the page's width broke, put together: a line goes on in the next one if the
+    next one's first sign or word had no room in it. Items, verse, short lines and ends of sentences stay."""
+    out: list[str] = []
+    for i, line in enumerate(lines):
+        before = lines[i - 1] if i else ""
+        if out and before and line and not LIST_ITEM.match(line):
+            width = max(len(before), len(line), len(lines[i - 2]) if i > 1 else 0)
+            ideographs = IDEOGRAPH.search(before[-2:] or " ") or IDEOGRAPH.match(line)
+            room = width - len(before)
+            word = 1 if ideographs else len(line.split(" ", 1)[0]) + 1
+            full = room <= 1 if ideographs else room < word
+            if full and len(before) >= 12 and not re.search(r"(?:[。.!?！？]|——)$", before):
+                out[-1] += line if ideographs else " " + line
+                continue
+        out.append(line)
+    return out
+
+
+def repair_text(text: str, page: int | None, inside: bool, titles: list[str], words: Words) -> str:
+    """One record's text without running titles and page numbers, split words joined, misread signs
+    and words decoded, broken lines put together."""
+    text = SPLIT_WORD.sub(lambda m: m[1] + m[2] + "\n" if is_split_word(m[1], m[2], words) else m[0], text)
+    lines = canonical([text])[0].split("\n")
+    full = [i for i, l in enumerate(lines) if l.strip()]
+    edge = set(full if inside else full[:EDGE_LINES] + full[-EDGE_LINES:])
+    kept = []
+    for i, line in enumerate(lines):
+        if i in edge and len(line) <= LONGEST_TITLE:
+            sig, number = title_parts(line.strip(), page)
+            if number and not sig or len(sig) >= 4 and any(_near(sig, t, min(TITLE_EDITS, len(t) // 4)) for t in titles):
+                continue
+        kept.append(line.strip())
+    flow = "\n".join(_joined(kept))
+    for read, sign in _PRIVATE.items():
+        flow = flow.replace(read, chr(sign))
+    signs = list(flow)
+    for at, c in _misread_signs([flow], words.counts)[0].items():
+        signs[at] = chr(c)
+    back = {chr(sign): read for read, sign in _PRIVATE.items()}
+    flow = "".join(back.get(c, c) for c in signs)
+    wrong = words.wrong(set(LATIN_WORD.findall(flow)))
+    if wrong:
+        flow = LATIN_WORD.sub(lambda m: wrong.get(m[0], m[0]), flow)
+    return re.sub(r"\n{3,}", "\n\n", flow).strip("\n")
+
+
+def repaired_texts(records: DataFrame) -> DataFrame:
+    """(name, key, text, changed): each of records(name, key, doc, page, text, inside) in continuous paragraphs.
+
+    Null keys give no row; null and empty texts stay as they are.
+    """
+    records = records.where("key is not null").select("name", "key", "doc", F.col("page").cast("int").alias("page"), "text", "inside")
+    full = records.where("text is not null and text <> ''")
+    counts = corpus_counts(full)
+    titles = cut(running_titles(scan_lines(full, counts).where("doc is not null"))).groupBy("doc").agg(F.collect_set("title").alias("titles"))
+    known = records.sparkSession.sparkContext.broadcast(counts)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words(known.value)
+        for p in it:
+            texts = [t if not t else repair_text(t, None if g != g or g is None else int(g), i, [] if own is None else list(own), words) for t, g, i, own in zip(p["text"], p["page"], p["inside"], p["titles"])]
+            yield pd.DataFrame({"name": p["name"], "key": p["key"], "text": texts, "changed": [a != b for a, b in zip(texts, p["text"])]})
+
+    return records.join(titles, "doc", "left").select("name", "key", "page", "text", "inside", "titles").mapInPandas(run, "name string, key string, text string, changed boolean")

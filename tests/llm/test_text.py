@@ -182,3 +182,19 @@ def test_scan_noise(spark):
     want = {(f"p{p:02}", k) for p in range(1, 31) for k in ("header", "page_number")} | {("p05", "misread"), ("e90", "hyphen"), ("e91", "misread"), ("q1", "header"), ("q1", "page_number")}
     assert got == want
     assert scan.scan_noise(d.limit(0)).count() == 0
+
+
+def test_repaired_texts(spark):
+    d = spark.createDataFrame(scan_rows(), "name string, key string, doc string, page int, text string, inside boolean")
+    got = {r.key: r.text for r in scan.repaired_texts(d).collect()}
+    line = "丰收之后,乌莫丽的石匠一家在旧车站后面修补一条旧船,因为没有人记得旧规矩。"
+    assert got["p05"] == got["p06"] == "\n".join([line] * 3)
+    assert got["e91"] == "The potter of Norgre repairs an old boat behind the station at dusk."
+    assert got["e90"].replace("\n", " ") == "The potter of Norgre repairs an old boat behind the station at dusk."
+    assert got["q1"] == "3. 分析细节。\n丰收之后,乌莫丽的石匠一家在旧车站。" and got["n2"] is None and got["n3"] == ""
+
+
+def test_broken_lines():
+    assert scan._joined(["在漫长的雨季等待迟到的货车，因", "为没有人记得旧规矩。", "- 一"]) == ["在漫长的雨季等待迟到的货车，因为没有人记得旧规矩。", "- 一"]
+    assert scan._joined(["黄昏时种下三排柳树，", "节日前夜整理失散的信件。"]) == ["黄昏时种下三排柳树，", "节日前夜整理失散的信件。"]
+    assert scan._joined(["the quick brown fox jumps", "over the lazy dog again"]) == ["the quick brown fox jumps over the lazy dog again"]
