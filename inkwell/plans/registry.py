@@ -352,6 +352,33 @@ def link_hosts(s, d):
     return table(s, d, "documents").select(l.alias("l")).groupBy(F.regexp_extract("l", r"^(?i:https?://)?([^/\s:?#]+)", 1).alias("host")).agg(F.count("*").alias("links"))
 
 
+_RESERVED = r"(?i)(?:^|/)(?:con|prn|aux|nul|com[1-9]|lpt[1-9])(?:\.[^/]*)?(?:/|$)"
+
+
+@query(f"""with p as (select distinct path from (select archived_path as path from materials union all select path from blocks union all select path from knowledge_cards) where path is not null)
+select path, not (regexp_matches(path, '^/|^[A-Za-z]:|\\\\|[\\x00-\\x1f\\x7f]|(?:^|/)\\.{{1,2}}(?:/|$)|//|[. ](?:/|$)') or regexp_matches(path, '{_RESERVED}')) as portable, regexp_matches(path, '^cards/[^/]+/[^/]+\\.md$') as is_card from p""")
+def portable_paths(s, d):
+    """Every path that a table names: whether it is safe on any system, and whether it is a card's."""
+    all_ = table(s, d, "materials").select(F.col("archived_path").alias("path")).unionByName(table(s, d, "blocks").select("path")).unionByName(table(s, d, "knowledge_cards").select("path"))
+    p = F.col("path")
+    bad = p.rlike(r"^/|^[A-Za-z]:|\\|[\x00-\x1f\x7f]|(?:^|/)\.{1,2}(?:/|$)|//|[. ](?:/|$)") | p.rlike(_RESERVED)
+    return all_.where("path is not null").distinct().select("path", (~bad).alias("portable"), p.rlike(r"^cards/[^/]+/[^/]+\.md$").alias("is_card"))
+
+
+@query("""with g as (select l_orderkey, l_returnflag, max(l_quantity) as q from lineitem group by all) select l_orderkey, cast(sum(q) as bigint) as granted, count(*) as groups_ from g group by l_orderkey""")
+def group_best_totals(s, d):
+    """Per key the sum over its groups of the best value of each: substitutes count once."""
+    best = table(s, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.max("l_quantity").alias("q"))
+    return best.groupBy("l_orderkey").agg(F.sum("q").cast("bigint").alias("granted"), F.count("*").alias("groups_"))
+
+
+@query("""with o as (select user_id, event_id, ts, lag(ts) over (partition by user_id order by event_id) as before from events) select user_id, event_id, cast(epoch_us(ts) - epoch_us(before) as bigint) as gap_us, before is not null and before >= ts as overlaps from o""")
+def event_gaps(s, d):
+    """Time since the user's event before, and whether the two are out of order."""
+    e = ordered.previous(table(s, d, "events").select("user_id", "event_id", "ts"), "user_id", "event_id", ["event_id"], "ts", "before", block=4096)
+    return e.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))).alias("gap_us"), F.coalesce(F.col("before") >= F.col("ts"), F.lit(False)).alias("overlaps"))
+
+
 # --- audit and events -----------------------------------------------------------------------------
 
 

@@ -8,7 +8,9 @@ NAMES = sorted(entry.queries())
 
 
 def cell(v):
-    if v is None or v != v:
+    import pandas as pd
+
+    if v is None or pd.api.types.is_scalar(v) and pd.isna(v):
         return None
     return str(int(v)) if isinstance(v, (bool, int, float)) and v == int(v) else str(v)
 
