@@ -71,6 +71,64 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return lookalike.look_alike_pairs(p2_records(spark, root)).select(F.col("name").alias("table_name"), F.col("left").alias("left_key"), F.col("right").alias("right_key"))
 
 
+def p2_canonical(spark: SparkSession, root: str) -> DataFrame:
+    """Each text of the three tables in its one form, and whether that differs from what is stored."""
+    out = None
+    for name, key, text in (("page_texts", "page_key", "text"), ("question_candidates", "candidate_key", "text"), ("knowledge_cards", "card_id", "body")):
+        own = first_per_key(table(spark, root, name).select(key, text, "received_at"), key).select(F.lit(name).alias("table_name"), F.col(key).alias("record_key"), F.col(text).alias("text"))
+        out = own if out is None else out.unionByName(own)
+    one = out.withColumn("canonical", lookalike.canonical_text("text"))
+    return one.select("table_name", "record_key", "canonical", (~F.col("text").eqNullSafe(F.col("canonical"))).alias("changed"))
+
+
+def p3_records(spark: SparkSession, root: str) -> DataFrame:
+    pages = table(spark, root, "page_texts").select(F.lit("page_texts").alias("name"), F.col("page_key").alias("key"), F.col("doc_id").alias("doc"), F.col("page_no").alias("page"), "text", F.lit(False).alias("inside"))
+    questions = table(spark, root, "question_candidates").select(F.lit("question_candidates").alias("name"), F.col("candidate_key").alias("key"), F.col("doc_id").alias("doc"), F.col("page_start").alias("page"), "text", F.lit(True).alias("inside"))
+    return pages.unionByName(questions)
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return scan.scan_noise(p3_records(spark, root)).select(F.col("name").alias("table_name"), F.col("key").alias("record_key"), F.col("kind").alias("noise_kind"))
+
+
+def p3_repaired(spark: SparkSession, root: str) -> DataFrame:
+    """Every page and question in continuous paragraphs."""
+    fixed = scan.repaired_texts(p3_records(spark, root)).select(F.col("name").alias("table_name"), F.col("key").alias("record_key"), "text", "changed")
+    return fixed.distinct()
+
+
+def p4_records(spark: SparkSession, root: str) -> DataFrame:
+    rows = first_per_key(table(spark, root, "candidate_knowledge").select("candidate_id", "title", "statement", "received_at"), "candidate_id")
+    text = F.concat(F.coalesce("title", F.lit("")), F.coalesce("statement", F.lit("")))
+    return rows.select(F.col("candidate_id").alias("key"), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "").alias("text"))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return near.near_pairs(p4_records(spark, root), 0.6).select(F.col("left").alias("left_id"), F.col("right").alias("right_id"))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return encoding.repair_encoding(table(spark, root, "page_texts"), "page_key", "text").select(F.col("key").alias("page_key")).distinct()
+
+
+def p5_restored(spark: SparkSession, root: str) -> DataFrame:
+    pages = first_per_key(table(spark, root, "page_texts").select("page_key", "text", "received_at"), "page_key")
+    return encoding.repair_encoding(pages, "page_key", "text").withColumnRenamed("key", "page_key")
+
+
+def p2_records(spark: SparkSession, root: str) -> DataFrame:
+    """(name, key, text) of the three tables; late duplicates are equal, so any one of them will do."""
+    out = None
+    for name, key, text in (("page_texts", "page_key", "text"), ("question_candidates", "candidate_key", "text"), ("knowledge_cards", "card_id", "body")):
+        own = table(spark, root, name).select(F.lit(name).alias("name"), F.col(key).alias("key"), F.col(text).alias("text"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return lookalike.look_alike_pairs(p2_records(spark, root)).select(F.col("name").alias("table_name"), F.col("left").alias("left_key"), F.col("right").alias("right_key"))
+
+
 def p2_canonical_cards(spark: SparkSession, root: str) -> DataFrame:
     """Each card's body in its one form, and whether that differs from what is stored."""
     cards = first_per_key(table(spark, root, "knowledge_cards").select("card_id", "body", "received_at"), "card_id")
@@ -115,7 +173,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
-    "p2_canonical_cards": p2_canonical_cards,
+    "p2_canonical": p2_canonical,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
     "p4_found": p4_found,
@@ -128,4 +186,19 @@ QUERIES = {
     "p8_shares": p8_shares,
     "p9_found": p9_found,
 }
-SQL: dict[str, str] = {}
+_SPACE = "[\\s\\x{3000}\\x{a0}\\x{85}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}]+"
+#: The exact pairs by joining on single members; the other queries have no form that SQL can express.
+SQL: dict[str, str] = {
+    "p1_found": f"""
+with r as (select 'abilities' as s, question_id as k, unnest(any_value(abilities)) as m from question_knowledge group by question_id
+  union all select 'abilities', card_id, unnest(any_value(metadata.abilities)) from knowledge_cards group by card_id
+  union all select 'question_types', card_id, unnest(any_value(metadata.question_types)) from knowledge_cards group by card_id),
+ t as (select distinct s, k, lower(regexp_replace(m, '^{_SPACE}|{_SPACE}$', '', 'g')) as m from r where m is not null), n as (select * from t where m <> ''), c as (select s, k, count(*) as n from n group by s, k),
+ b as (select x.s, x.k as l, y.k as r, count(*) as both_ from n x join n y on x.s = y.s and x.m = y.m and x.k < y.k group by all)
+select b.s as set_name, l as left_id, r as right_id from b join c x on x.s = b.s and x.k = l join c y on y.s = b.s and y.k = r where 10 * both_ >= 6 * (x.n + y.n - both_)""",
+    "p4_found": """
+with t as (select candidate_id as k, regexp_replace(lower(coalesce(any_value(title), '') || coalesce(any_value(statement), '')), '[^\\p{L}\\p{N}]', '', 'g') as t from candidate_knowledge group by 1),
+ g as (select distinct k, substr(t, i, 3) as m from (select k, t, unnest(range(1, length(t) - 1)) as i from t where length(t) > 2)), c as (select k, count(*) as n from g group by k),
+ b as (select x.k as l, y.k as r, count(*) as both_ from g x join g y on x.m = y.m and x.k < y.k group by all)
+select l as left_id, r as right_id from b join c x on x.k = l join c y on y.k = r where 10 * both_ >= 6 * (x.n + y.n - both_)""",
+}
