@@ -24,3 +24,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/inkwell-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that cut() wrote to the shared folder; for the end of a job, when no result is still to be read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        for s in fs.listStatus(path):
+            if s.getPath().getName().startswith("inkwell-"):
+                fs.delete(s.getPath(), True)

@@ -88,7 +88,7 @@ def sparse_pages(s, d):
     return _pages(s, d).select("page_key", n.alias("readable"), (n < 80).alias("sparse"))
 
 
-@query(f"""select doc_id, count(*) as pages, count_if(n < 80) as sparse_pages, case when count_if(n < 80) = 0 then 'text_layer' when count_if(n < 80) = count(*) then 'ocr' else 'hybrid' end as mode
+@query(f"""select doc_id, count(*) as pages, cast(count_if(n < 80) as bigint) as sparse_pages, case when count_if(n < 80) = 0 then 'text_layer' when count_if(n < 80) = count(*) then 'ocr' else 'hybrid' end as mode
   from (select doc_id, length(regexp_replace(coalesce(text,''), '[^A-Za-z\\x{{4e00}}-\\x{{9fff}}]', '', 'g')) as n from {PAGES}) group by doc_id""")
 def extraction_mode(s, d):
     sparse = text.readable_count(F.coalesce("text", F.lit(""))) < 80
@@ -97,7 +97,7 @@ def extraction_mode(s, d):
 
 
 @query(f"""select doc_id, count(*) as page_rows, cast(max(page_no) as bigint) as last_page, max(page_no) - count(distinct page_no) as missing, count(*) - count(distinct page_no) as repeated,
-  count_if(text is null or regexp_matches(text, '^\\s*$')) as empty_pages from {PAGES} group by doc_id""")
+  cast(count_if(text is null or regexp_matches(text, '^\\s*$')) as bigint) as empty_pages from {PAGES} group by doc_id""")
 def page_inventory(s, d):
     blank = F.col("text").isNull() | F.col("text").rlike(r"^\s*$")
     g = _pages(s, d).groupBy("doc_id").agg(F.count("*").alias("page_rows"), F.max("page_no").cast("bigint").alias("last_page"), F.count_distinct("page_no").alias("_n"), F.count_if(blank).alias("empty_pages"))
@@ -427,7 +427,7 @@ def stream_counts(s, d):
 
 
 @query(f"""with i as (select 'warning' as level, 'sequence_gap' as code, doc_id as path from {QUESTIONS} where sequence_warning is not null union all select 'error', 'empty_page', doc_id from {PAGES} where text is null or regexp_matches(text, '^\\s*$'))
-select path, count_if(level = 'error') as errors, count_if(level = 'warning') as warnings from i group by path""")
+select path, cast(count_if(level = 'error') as bigint) as errors, cast(count_if(level = 'warning') as bigint) as warnings from i group by path""")
 def issue_rollup(s, d):
     q = _questions(s, d).where("sequence_warning is not null").select(F.lit("warning").alias("level"), F.lit("sequence_gap").alias("code"), F.col("doc_id").alias("path"))
     p = _pages(s, d).where(F.col("text").isNull() | F.col("text").rlike(r"^\s*$")).select(F.lit("error").alias("level"), F.lit("empty_page").alias("code"), F.col("doc_id").alias("path"))

@@ -100,3 +100,12 @@ def test_archive(spark, tmp_path):
     assert sinks.archive_new(d, str(tmp_path / "x")).count() == 2
     assert sinks.archive_new(d.unionByName(spark.createDataFrame([("d", b"3")], d.schema)), str(tmp_path / "x")).count() == 3
     assert sinks.manifest(d).count() == 3
+
+
+def test_cut_and_clear(spark):
+    from inkwell.plans.cut import clear, cut
+
+    d = cut(spark.range(5))
+    assert d.count() == 5 and "Range" not in d._jdf.queryExecution().toString()
+    clear(spark)
+    assert cut(spark.range(0)).count() == 0
