@@ -30,6 +30,12 @@ def without_comments(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)<!--.*?(?:-->|$(?![\s\S]))", "")
 
 
+def section(c: Column, title: str) -> Column:
+    """What stands under the heading '## title' of a text, up to the next '## '; of several the last counts."""
+    found = F.regexp_extract_all(c, F.lit(rf"(?dmU)^## [^\S\n]*{title}\s*$([\s\S]*?)(?=^## [^\n]|\z)"), F.lit(1))
+    return F.try_element_at(found, F.lit(-1))
+
+
 def shingles(c: Column, n: int) -> Column:
     """Runs of n characters; none of a shorter text."""
     return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))

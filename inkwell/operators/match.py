@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from inkwell.functions.text import compact, tokens
 
 #: What a match in a field counts (fixed values).
 WEIGHTS = {"id": 100, "title": 80, "tags": 50, "body": 20}
+#: Questions, and cards, of a module that one task compares.
+BLOCK = 4096
 
 
 def weighted_search(cards: DataFrame, fields: dict[str, Column], query: str, key: str = "card_id") -> DataFrame:
@@ -51,3 +56,77 @@ def score_matches(pairs: DataFrame) -> DataFrame:
     """dimensions -> score (10 for each of type and ability, 1 for each dimension) and applicable."""
     core = F.size(F.array_intersect("dimensions", F.array(F.lit("question_type"), F.lit("ability"))))
     return pairs.withColumn("applicable", core > 0).withColumn("score", 10 * core + F.size("dimensions"))
+
+
+def _tokens(t: str | None) -> set[str]:
+    """Search tokens of a text as in functions.text.tokens, with case folded."""
+    t = re.sub(r"\s+", "", t or "").casefold()
+    return {*re.findall(r"[a-z0-9_]+|[\u4e00-\u9fff]{2,}", t), *(t[i : i + 4] for i in range(len(t) - 3))}
+
+
+def _labels(values) -> set[str]:
+    return {v for v in ([] if values is None else values) if v}
+
+
+def _best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    """The questions of one block against the cards of one block; a part of best_matches."""
+    c = c.sort_values("card_id", ignore_index=True)
+    sides = {
+        "question_type": ([_labels([v]) for v in q["question_type"]], (_labels(v) for v in c["question_types"])),
+        "ability": ([_labels(v) for v in q["abilities"]], (_labels(v) for v in c["abilities"])),
+        "actual_task": ([_tokens(v) for v in q["statement"]], (_tokens(v) for v in c["statement"])),
+        "evidence_structure": ([_tokens(v) for v in q["evidence"]], (_tokens(v) for v in c["evidence"])),
+    }
+    at: dict[str, dict[str, np.ndarray]] = {}
+    for d, (asked, held) in sides.items():
+        lists: dict[str, list[int]] = {v: [] for values in asked for v in values}
+        for k, values in enumerate(held):
+            for v in values & lists.keys():
+                lists[v].append(k)
+        at[d] = {v: np.array(l) for v, l in lists.items() if l}
+    rows = []
+    for i, question in enumerate(q["question_id"]):
+        hit = {}
+        for d, (asked, _) in sides.items():
+            hit[d] = np.zeros(len(c), bool)
+            for v in asked[i] & at[d].keys():
+                hit[d][at[d][v]] = True
+        core = hit["actual_task"].astype(int) + hit["evidence_structure"]
+        ok = np.flatnonzero((core > 0) | hit["question_type"] & hit["ability"])
+        if len(ok):
+            score = (11 * core + hit["question_type"] + hit["ability"])[ok]
+            rows.append((question, len(ok), int(score.max()), c["card_id"][ok[score.argmax()]]))
+    return pd.DataFrame(rows, columns=["question_id", "cards", "best_score", "best_card"])
+
+
+def best_matches(questions: DataFrame, cards: DataFrame) -> DataFrame:
+    """(question_id, cards, best_score, best_card): per question the number of applicable cards, the
+    best score and the first card with it, over every question and card of one module.
+
+    Columns as in match_dimensions, ids not repeated. Core are actual_task and evidence_structure: a
+    card is applicable if it shares one of them or both labels (question_type and ability); the score
+    is 10 for each core dimension and 1 for each dimension. Questions without an applicable card give
+    no row; null ids and modules take no part, null and blank values match nothing.
+
+    The texts have so many tokens in common that a join on tokens makes each pair many times over. So
+    the module's questions and cards are cut into blocks, and a task looks up the tokens of a block of
+    questions in a block of cards; nothing but one row per question and block of cards leaves it.
+    """
+    q = questions.where("question_id is not null and module is not null").select("question_id", "module", "question_type", "abilities", "statement", "evidence")
+    c = cards.where("card_id is not null").select("card_id", F.explode(F.array_distinct("modules")).alias("module"), "question_types", "abilities", "statement", "evidence").where("module is not null")
+
+    def blocks(d: DataFrame, name: str) -> DataFrame:
+        return d.groupBy("module").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+
+    sizes = blocks(q, "_nq").join(blocks(c, "_nc"), "module")
+
+    def placed(d: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        """Each row in its block, once for every block of the other side."""
+        d = d.join(sizes, "module").withColumn(f"_{own}", F.pmod(F.xxhash64(key), F.col(f"_n{own}")).cast("int"))
+        return d.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(f"_n{other}") - 1))).drop("_nq", "_nc")
+
+    keys = ["module", "_q", "_c"]
+    kinds = f"question_id {q.schema['question_id'].dataType.simpleString()}, cards long, best_score int, best_card {c.schema['card_id'].dataType.simpleString()}"
+    parts = placed(q, "question_id", "q", "c").groupBy(*keys).cogroup(placed(c, "card_id", "c", "q").groupBy(*keys)).applyInPandas(_best, kinds)
+    first = F.min_by("best_card", F.struct(-F.col("best_score"), F.col("best_card")))
+    return parts.groupBy("question_id").agg(F.sum("cards").alias("cards"), F.max("best_score").alias("best_score"), first.alias("best_card"))

@@ -246,7 +246,8 @@ def token_sets(s, d):
  s as (select question_id, card_id, 10 * count(*) + count(*) as score, array_to_string(list_sort(list(d)), ',') as dimensions from p group by question_id, card_id)
 select question_id, count(*) as cards, cast(max(score) as int) as best_score, min(card_id) filter (score = top) as best_card from (select *, max(score) over (partition by question_id) as top from s) group by question_id""")
 def question_card_match(s, d):
-    """Per question: applicable cards, the best score, and the first card with it. Over all questions and cards."""
+    """Per question: cards that share a label, the best score by labels, and the first card with it. Over all
+    questions and cards; their texts take no part here, they do in question_card_match_full."""
     q = first_per_key(table(s, d, "question_knowledge"), "question_id").select("question_id", "module", "question_type", "abilities", F.lit(None).cast("string").alias("statement"), F.lit(None).cast("string").alias("evidence"))
     m = F.col("metadata")
     none = F.lit(None).cast("string")
@@ -255,6 +256,17 @@ def question_card_match(s, d):
     return found.groupBy("question_id").agg(F.count("*").alias("cards"), F.max("score").cast("int").alias("best_score"), F.min_by("card_id", F.struct(-F.col("score"), F.col("card_id"))).alias("best_card"))
 
 
+@query()
+def question_card_match_full(s, d):
+    """Per question: applicable cards, the best score, and the first card with it, by labels, task and
+    evidence. Over all questions and cards."""
+    evidence = F.concat_ws(" ", F.col("evidence_anchor"), F.col("retrieval_queries"))
+    q = first_per_key(table(s, d, "question_knowledge"), "question_id").select("question_id", "module", "question_type", "abilities", F.col("task_statement").alias("statement"), evidence.alias("evidence"))
+    m = F.col("metadata")
+    c = _cards(s, d).select("card_id", m["modules"].alias("modules"), m["question_types"].alias("question_types"), m["abilities"].alias("abilities"), text.section(F.col("body"), "知识表述").alias("statement"), text.section(F.col("body"), "支持证据").alias("evidence"))
+    return match.best_matches(q, c)
+
+
 @query(f"""with s as (select distinct x.id as id, x.kind as kind from (select unnest(metadata.sources) as x from {CARDS}))
 select c.candidate_id, c.source.id as source_id, case when c.source.id is null then 'missing_source' when not exists (select 1 from s where s.id = c.source.id) then 'unknown_source'
   when not exists (select 1 from s where s.id = c.source.id and s.kind = c.source.kind) then 'kind_mismatch' else 'bound' end as state from {CANDIDATES} c""")
