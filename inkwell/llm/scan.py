@@ -51,10 +51,12 @@ WRAPPED_WORD = re.compile(r"(?<=[^\W\d_])[-¬]\n(?=[a-zà-ɏ])")
 LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏ0-9]*[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ0-9]*")
 DIGIT_INSIDE = re.compile(r"(?:[a-zà-ɏ]|^)[a-zà-ɏ]*[a-zà-ɏ][01569][a-zà-ɏ]|^[01569][a-zà-ɏ]{3,}|[a-zà-ɏ]{3,}[01569]$")
 IDEOGRAPH = re.compile(r"[㐀-鿿]")
+#: What may stand around a page number: signs, and the zero that is drawn as a ring (a word character for re).
+_DRESS = r"[\W_〇○◯]*"
 #: A line that is nothing but a page number, in any of the usual dresses.
-NUMBER_LINE = re.compile(r"^[\W_]*(?:语文|数学|英语)?[\W_]*(?:第|p\.?|pp\.?|page|seite)?\s*(\d{1,5})\s*页?\s*(?:(?:/|of|von|sur|[,|·(]?\s*共)\s*\d{1,5}\s*页?)?[\W_]*$", re.I)
+NUMBER_LINE = re.compile(rf"^{_DRESS}(?:语文|数学|英语)?{_DRESS}(?:第|p\.?|pp\.?|page|seite)?\s*(\d{{1,5}})\s*页?\s*(?:(?:/|of|von|sur|[,|·(]?\s*共)\s*\d{{1,5}}\s*页?)?{_DRESS}$", re.I)
 #: A page number at the head or end of a line, beside something else.
-NUMBER_BESIDE = re.compile(r"^[\W_]*(?:第\s*)?(\d{1,5})(?:\s*页)?(?:\s{2,}|\s*[|·—~•/-]\s*)\D|\D(?:\s{2,}|\s*[|·—~•/-]\s*)(?:第\s*)?(\d{1,5})(?:\s*页)?[\W_]*$")
+NUMBER_BESIDE = re.compile(rf"^{_DRESS}(?:第\s*)?(\d{{1,5}})(?:\s*页)?(?:\s*[〇○◯])*(?:\s{{2,}}|\s*[|·—~•/-]\s*)\D|\D(?:\s{{2,}}|\s*[|·—~•/-]\s*)(?:[〇○◯]\s*)*(?:第\s*)?(\d{{1,5}})(?:\s*页)?{_DRESS}$")
 LIST_ITEM = re.compile(r"^\s*(?:[-*•·]\s|\(|\d{1,3}[.、)]\s*\D|[A-D][.、]|#|\|)")
 SENTENCE_END = re.compile(r"[。.!?！？…,，;；:：—”»\"、]$")
 EDGE_LINES, LONGEST_TITLE = 2, 60
