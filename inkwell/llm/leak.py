@@ -4,7 +4,10 @@ Texts are compared by their letters and digits in one case. All n-grams of the t
 up in every document; of each stretch of an item the n-gram that the fewest documents hold is its
 seed, so seeds are rare. A run of the required length always covers a whole stretch and therefore a
 seed: documents and items that share a seed are all candidates. Each candidate is extended from its
-seeds to its longest unbroken run, and aligned with the item (Smith-Waterman) for edited copies.
+seeds to its longest unbroken run, and aligned with the item (Smith-Waterman).
+
+Edited copies need no long run. copies() aligns every document and item but those that cannot reach
+the score: an alignment with so few errors leaves so many short grams of the item whole.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ GRAMS = (16, 8, 4, 2, 1)
 FILTER_BITS = 1 << 22
 #: Stretches beside each other that a required run covers at least one of.
 MATCH, MISMATCH, GAP = 2, -3, -4
+#: Lengths of the short grams that copies() counts; documents, and items, that one task compares; signs that are aligned at once.
+SHORT = (3, 4)
+DOCS, ITEMS, WIDTH = 4096, 256, 1 << 15
 
 
 def plain(text: str | None) -> str:
@@ -151,3 +157,162 @@ def align_score(x: np.ndarray, y: np.ndarray) -> float:
         h = (np.maximum.accumulate(row + step) - step).astype(np.int32)
         best = max(best, int(h.max()))
     return best / (MATCH * len(x))
+
+
+def least_grams(size: int, share: float, q: int) -> float:
+    """At how many places of an item of `size` signs the q-gram also stands in a text whose alignment
+    with it scores `share` or more, at least.
+
+    M matches and E errors leave M - (q - 1) * (E + 1) grams whole. A mismatch uses up MATCH - MISMATCH of
+    the 2 * size * (1 - share) that the score may lack, a gap -GAP or more; M pays for both.
+    """
+    lost = max(0, (q - 1 + MISMATCH / MATCH) / (MATCH - MISMATCH), (q - 1 + GAP / MATCH) / -GAP)
+    return share * size - lost * MATCH * size * (1 - share) - (q - 1)
+
+
+def _edits(x: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    """For each text at most the number of edits that lead from x to its nearest passage (it may begin
+    in the text before); bit-parallel along the texts (Myers), the bits in whole numbers of any length."""
+    y = np.concatenate(texts)
+    full = (1 << len(y)) - 1
+    up, down = 0, 0  # where the distance grows, or falls, from one sign of the texts to the next
+    at = {c: int.from_bytes(np.packbits(y == c, bitorder="little").tobytes(), "little") for c in np.unique(x).tolist()}
+    for c in x.tolist():
+        eq = at[c]
+        flat = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = ((down | (full & ~(flat | up))) << 1) | 1, (up & flat) << 1
+        up, down = (minus | (full & ~(flat | plus))) & full, plus & flat & full
+    size = -(-len(y) // 8)
+    up_, down_ = (np.unpackbits(np.frombuffer(v.to_bytes(size, "little"), np.uint8), bitorder="little")[: len(y)].astype(np.int64) for v in (up, down))
+    return np.minimum.reduceat(len(x) + np.cumsum(up_ - down_), np.cumsum([0, *map(len, texts[:-1])]))
+
+
+def _best_alignments(x: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    return _side_by_side(x, texts, False)
+
+
+def _longest_runs(x: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    return _side_by_side(x, texts, True)
+
+
+def _side_by_side(x: np.ndarray, texts: list[np.ndarray], runs: bool) -> np.ndarray:
+    """For each text its best local alignment score with x, or the longest run it shares with x.
+
+    The texts stand in one row with a wall before each that no alignment crosses.
+    """
+    wall = MATCH * len(x) + 1
+    start = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    y = np.zeros(start[-1], np.int64)
+    for t, s in zip(texts, start):
+        y[s + 1 : s + 1 + len(t)] = t
+    edge = np.zeros(len(y), bool)
+    edge[start[:-1]] = True
+    step = (-GAP * np.arange(len(y)) + wall * np.cumsum(edge)).astype(np.int64)
+    h = np.zeros(len(y), np.int32 if runs else np.int64)
+    best = h.copy()
+    kept: dict[int, np.ndarray] = {}
+    for c in x.tolist():
+        if c not in kept:
+            same = (y == c) & ~edge
+            kept[c] = same if runs else np.where(edge, -wall, np.where(same, MATCH, MISMATCH))
+        row = np.empty_like(h)
+        row[0] = 0
+        if runs:
+            np.add(h[:-1], 1, out=row[1:])
+            row *= kept[c]
+        else:
+            np.add(h[:-1], kept[c][1:], out=row[1:])
+            h += GAP
+            np.maximum(row, h, out=row)
+            np.maximum(row, 0, out=row)
+            row += step
+            np.maximum.accumulate(row, out=row)
+            row -= step
+            np.maximum(row, 0, out=row)
+            row[edge] = 0
+        h = row
+        np.maximum(best, h, out=best)
+    return np.maximum.reduceat(best, start[:-1])
+
+
+def _each(f, x: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    """f(x, texts) for any number of texts, WIDTH signs at once (or one text)."""
+    out, part, size = [np.empty(0, np.int64)], [], 0
+    for t in texts:
+        if part and size + len(t) > WIDTH:
+            out.append(f(x, part))
+            part, size = [], 0
+        part.append(t)
+        size += len(t) + 1
+    if part:
+        out.append(f(x, part))
+    return np.concatenate(out)
+
+
+def _copies(docs: pd.DataFrame, items: pd.DataFrame, share: float) -> pd.DataFrame:
+    """The documents of one block against the items of one block; a part of copies()."""
+    columns = ["doc_id", "item_id", "run", "item_len", "score"]
+    if not len(docs) or not len(items):
+        return pd.DataFrame(columns=columns)
+    xs, ys = ([code_points([plain(t)])[0] for t in d["text"]] for d in (items, docs))
+    ok = np.array([len(y) for y in ys])[:, None] >= share * np.array([len(x) for x in xs])[None, :] - 1e-9
+    ok &= np.array([len(x) > 0 for x in xs])[None, :]
+
+    def grams(c: np.ndarray, q: int) -> np.ndarray:
+        n = max(0, len(c) - q + 1)
+        h = np.zeros(n, np.uint64)
+        for i in range(q):
+            h = (h << np.uint64(21)) | c[i : i + n].astype(np.uint64) if i < 3 else mix64(h) ^ c[i : i + n].astype(np.uint64)
+        return h
+
+    for q in SHORT:
+        own = [grams(x, q) for x in xs]
+        known = np.unique(np.concatenate(own)) if own else np.empty(0, np.uint64)
+        if not len(known):
+            continue
+        at = np.zeros((len(known), len(xs)), np.int32)  # how often each gram stands in each item
+        for k, g in enumerate(own):
+            np.add.at(at[:, k], np.searchsorted(known, g), 1)
+        least = np.array([least_grams(len(x), share, q) for x in xs]) - 1e-6
+        for d in np.flatnonzero(ok.any(1)):
+            g = np.unique(grams(ys[d], q))
+            k = np.minimum(np.searchsorted(known, g), len(known) - 1)
+            ok[d] &= at[k[known[k] == g]].sum(0) >= least
+    rows = []
+    for k, x in enumerate(xs):
+        d = np.flatnonzero(ok[:, k])
+        d = d[_each(_edits, x, [ys[i] for i in d]) <= (1 - share) * len(x) + 1e-9]  # M matches and G gaps of the item leave len(x) - M + G edits, and M >= share * len(x) + 2 * G
+        score = _each(_best_alignments, x, [ys[i] for i in d])
+        kept = score >= share * MATCH * len(x) - 1e-9
+        d, score = d[kept], score[kept]
+        for i, s, r in zip(d, score, _each(_longest_runs, x, [ys[i] for i in d])):
+            rows.append((docs["doc_id"].iloc[i], items["item_id"].iloc[k], int(r), len(x), s / (MATCH * len(x))))
+    return pd.DataFrame(rows, columns=columns)
+
+
+def copies(documents: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
+    """(doc_id, item_id, run, item_len, score): documents(doc_id, text) that hold a whole or an edited copy
+    of an item of items(item_id, text): the best local alignment (Smith-Waterman, letters and digits)
+    scores at least `share` of a whole copy.
+
+    A run of `share` of the item scores as much, so every pair of leaks() is among them; run is the
+    longest one, however short. Exact over all documents and items: short grams (least_grams) and
+    the number of edits leave out only pairs that cannot reach the score. Null ids, null and empty texts take no part; one row per pair.
+    """
+    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    own = items.where("item_id is not null and text is not null").select("item_id", "text")
+
+    def blocks(d: DataFrame, name: str, most: int) -> DataFrame:
+        return d.agg(F.greatest(F.ceil(F.count("*") / most), F.lit(1)).cast("int").alias(name))
+
+    sizes = blocks(docs, "_nd", DOCS).crossJoin(blocks(own, "_ni", ITEMS))  # one row
+
+    def placed(d: DataFrame, mine: str, other: str, key) -> DataFrame:
+        """Each row in its block, once for every block of the other side."""
+        d = d.crossJoin(sizes).withColumn(f"_{mine}", F.pmod(key, F.col(f"_n{mine}")).cast("int"))
+        return d.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(f"_n{other}") - 1))).drop("_nd", "_ni")
+
+    left, right = placed(docs, "d", "i", F.xxhash64("doc_id")), placed(own, "i", "d", F.xxhash64("item_id"))
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {own.schema['item_id'].dataType.simpleString()}, run int, item_len int, score double"
+    found = left.groupBy("_d", "_i").cogroup(right.groupBy("_d", "_i")).applyInPandas(lambda a, b: _copies(a, b, share), kinds)
+    return found.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.max("item_len").alias("item_len"), F.max("score").alias("score"))

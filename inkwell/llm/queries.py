@@ -146,7 +146,8 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, root: str) -> DataFrame:
-    return leak.leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).withColumn("score", F.round("score", 4))
+    """Whole and edited copies; p7_found has those with an unbroken run of half the item."""
+    return leak.copies(table(spark, root, "documents"), table(spark, root, "eval_items")).withColumn("score", F.round("score", 4))
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
