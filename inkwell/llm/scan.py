@@ -62,6 +62,8 @@ SENTENCE_END = re.compile(r"[。.!?！？…,，;；:：—”»\"、]$")
 EDGE_LINES, LONGEST_TITLE = 2, 60
 #: A running title stands on at least so many pages, and on such a share of the document's.
 TITLE_PAGES, TITLE_SHARE, TITLE_EDITS = 2, 0.2, 2
+#: A form of title is known if the titles of so many documents have it; then neither number nor share of pages counts.
+FORM_DOCS = 3
 
 
 @lru_cache(None)
@@ -341,14 +343,29 @@ def scan_lines(records: DataFrame, counts: np.ndarray) -> DataFrame:
     return records.mapInPandas(run, "name string, key string, doc string, page int, hyphen boolean, misread boolean, lines array<struct<sig:string,number:boolean>>")
 
 
+def _form(title):
+    """How a title ends before its number: 4 ideographs or 8 letters; null if nothing stands before them."""
+    bare = F.regexp_replace(title, "[零〇一二三四五六七八九十百]+$", "")
+    size = F.when(F.substring(bare, -1, 1).rlike("[\\x{3400}-\\x{9fff}]"), 4).otherwise(8)
+    return F.when(F.length(bare) > size, F.right(bare, size))
+
+
 def running_titles(lines: DataFrame) -> DataFrame:
-    """(doc, title): signatures that return at the edges of enough pages of a document."""
+    """(doc, title): signatures that return at the edges of enough pages of a document, and those of a form
+    known from other documents that stand off page 1 of a document with page numbers or other titles."""
     pages = lines.groupBy("doc").agg(F.count_distinct(F.when(F.col("name") == "page_texts", F.col("page"))).alias("pages"))
     each = lines.select("doc", "name", "page", "key", F.explode("lines").alias("l")).where("length(l.sig) >= 4")
     on = each.groupBy("doc", F.col("l.sig").alias("title")).agg(
-        F.count_distinct(F.when(F.col("name") == "page_texts", F.col("page"))).alias("p"), F.count_distinct(F.when(F.col("name") != "page_texts", F.col("key"))).alias("q")
+        F.count_distinct(F.when(F.col("name") == "page_texts", F.col("page"))).alias("p"), F.count_distinct(F.when(F.col("name") != "page_texts", F.col("key"))).alias("q"), F.max(F.when(F.col("name") == "page_texts", F.col("page"))).alias("last")
     )
-    return on.join(pages, "doc").where((F.col("p") >= TITLE_PAGES) & (F.col("p") >= TITLE_SHARE * F.col("pages")) | (F.col("q") >= 3) & (F.col("p") >= 1)).select("doc", "title")
+    enough = (F.col("p") >= TITLE_PAGES) & (F.col("p") >= TITLE_SHARE * F.col("pages")) | (F.col("q") >= 3) & (F.col("p") >= 1)
+    on = cut(on.join(pages, "doc").withColumn("enough", enough).withColumn("form", _form(F.col("title"))))
+    sure = on.where("enough")
+    forms = sure.where("form is not null").groupBy("form").agg(F.count_distinct("doc").alias("docs"), F.max(F.length("title")).alias("most")).where(F.col("docs") >= FORM_DOCS)
+    numbered = lines.where("name = 'page_texts' and exists(lines, l -> l.sig = '' and l.number)").select("doc")
+    furnished = numbered.unionByName(sure.select("doc")).distinct()
+    more = on.where("not enough and last > 1").join(forms, "form").where(F.length("title") <= F.col("most") + TITLE_EDITS).join(furnished, "doc", "left_semi")
+    return sure.select("doc", "title").unionByName(more.select("doc", "title"))
 
 
 def scan_noise(records: DataFrame) -> DataFrame:
