@@ -48,6 +48,7 @@ HYPHENS = "-‐‑­¬"
 SPLIT_WORD = re.compile(rf"([^\W\d_]+)[{HYPHENS}][ \t​-‏⁠﻿]*\n[ \t]*([^\W\d_]+)")
 MARKED_END = re.compile(rf"[{HYPHENS}][ \t​-‏⁠﻿]*\n")
 WRAPPED_WORD = re.compile(r"(?<=[^\W\d_])[-¬]\n(?=[a-zà-ɏ])")
+HYPHENED = re.compile(r"(?<![^\W\d_])([^\W\d_]+)-(?=([^\W\d_]+))")
 LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏ0-9]*[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ0-9]*")
 DIGIT_INSIDE = re.compile(r"(?:[a-zà-ɏ]|^)[a-zà-ɏ]*[a-zà-ɏ][01569][a-zà-ɏ]|^[01569][a-zà-ɏ]{3,}|[a-zà-ɏ]{3,}[01569]$")
 IDEOGRAPH = re.compile(r"[㐀-鿿]")
@@ -126,6 +127,11 @@ def _add_words(total: np.ndarray, words: Counter) -> None:
     words.clear()
 
 
+def _hyphened(a: str, b: str) -> list[str]:
+    """Keys under which a compound is counted: several, so that collisions don't make one up."""
+    return [f"{a}{'-' * k}{b}" for k in (1, 2, 3)]
+
+
 def corpus_counts(records: DataFrame) -> np.ndarray:
     """BUCKETS counts of contexts and words over all records(…, text)."""
 
@@ -138,6 +144,9 @@ def corpus_counts(records: DataFrame) -> np.ndarray:
             total += np.bincount(b.ravel(), minlength=BUCKETS)
             for t in texts:
                 words.update(LATIN_WORD.findall(t))
+                if "-" in t:
+                    for a, b in HYPHENED.findall(t):
+                        words.update(_hyphened(a, b))
             if len(words) > 200_000:
                 _add_words(total, words)
         _add_words(total, words)
@@ -295,10 +304,13 @@ def title_parts(line: str, page: int | None) -> tuple[str, bool]:
 
 
 def is_split_word(a: str, b: str, words: Words) -> bool:
-    """Whether a mark between a and b at a line end split one word (and is no part of a compound)."""
+    """Whether a mark between a and b at a line end split one word (and is no part of a compound): a
+    compound stands inside lines with its mark, more often than without and not by chance for its
+    halves. Only counts are compared with counts, so the answer doesn't change with the corpus's size."""
     if not b[:1].islower() or IDEOGRAPH.search(a + b):
         return False
-    return not (words.n(a) >= WORD_LEAST and words.n(b) >= WORD_LEAST and len(a) > 2 and len(b) > 2 and words.n(a + b) * 20 < min(words.n(a), words.n(b)))
+    marked = min(map(words.n, _hyphened(a, b)))
+    return not (marked > words.n(a + b) and marked * 20 >= min(words.n(a), words.n(b)))
 
 
 def scan_lines(records: DataFrame, counts: np.ndarray) -> DataFrame:
