@@ -52,7 +52,7 @@ def _compat(ch: str, parts: list[int]) -> bool:
 
 
 def _invisible(cp: int) -> bool:
-    return unicodedata.category(chr(cp)) == "Cf" or 0xFE00 <= cp <= 0xFE0F or cp in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0)
+    return unicodedata.category(chr(cp)) == "Cf" or 0xFE00 <= cp <= 0xFE0F or 0x180B <= cp <= 0x180F or cp in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0)
 
 
 @lru_cache(None)
@@ -115,6 +115,7 @@ def canonical(texts) -> list[str]:
     n, out = length[own], first[own]
     if high:
         n[cps >= _END], out[cps >= _END] = 1, cps[cps >= _END]
+        n[(cps >= 0xE0000) & (cps < 0xE1000)] = 0  # tags and variation selectors
     if n.size and (n.min() == 0 or n.max() > 1):
         total = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=total[1:])
