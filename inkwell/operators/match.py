@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import compact, tokens
+from inkwell.functions.text import compact
 
 #: What a match in a field counts (fixed values).
 WEIGHTS = {"id": 100, "title": 80, "tags": 50, "body": 20}
@@ -18,9 +19,17 @@ WEIGHTS = {"id": 100, "title": 80, "tags": 50, "body": 20}
 BLOCK = 4096
 
 
-def weighted_search(cards: DataFrame, fields: dict[str, Column], query: str, key: str = "card_id") -> DataFrame:
+def weighted_search(cards: DataFrame, fields: dict[str, Column], query: str, key: str = "card_id", statuses: tuple[Column, list[str]] | None = None, modules: tuple[Column, list[str]] | None = None) -> DataFrame:
     """(key, score, matched) of rows whose compact fields hold the compact query; the empty query
-    gives all rows with score 0. Order by score, highest first, then key."""
+    gives all rows with score 0. Order by score, highest first, then key.
+
+    statuses and modules are (column, wanted values) and keep rows whose status is wanted, or that
+    have a wanted module; an empty list of wanted values keeps all.
+    """
+    if statuses and statuses[1]:
+        cards = cards.where(statuses[0].isin(statuses[1]))
+    if modules and modules[1]:
+        cards = cards.where(F.arrays_overlap(modules[0], F.array(*map(F.lit, modules[1]))))
     needle = compact(F.lit(query or ""))
     hit = {n: (needle != "") & F.coalesce(compact(c).contains(needle), F.lit(False)) for n, c in fields.items()}
     score = reduce(lambda a, b: a + b, [F.when(hit[n], F.lit(WEIGHTS[n])).otherwise(0) for n in fields])
@@ -28,36 +37,6 @@ def weighted_search(cards: DataFrame, fields: dict[str, Column], query: str, key
     return cards.select(key, score.alias("score"), matched.alias("matched")).where((needle == "") | (F.col("score") > 0))
 
 
-def match_dimensions(questions: DataFrame, cards: DataFrame) -> DataFrame:
-    """(question_id, card_id, dimensions): pairs of one module that share a question type, an ability
-    or a token of statement or evidence; each dimension named once, sorted.
-
-    questions(question_id, module, question_type, abilities, statement, evidence) and cards(card_id,
-    modules, question_types, abilities, statement, evidence). An equi-join on (module, dimension,
-    value) stands for the comparison of every pair: pairs without any shared value are never made.
-    Values that are null or blank match nothing.
-    """
-
-    def values(d: DataFrame, key: str, module: Column, dims: dict[str, Column]) -> DataFrame:
-        def tagged(n: str, c: Column) -> Column:
-            return F.transform(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))), lambda v: F.struct(F.lit(n).alias("d"), v.alias("v")))
-
-        each = F.flatten(F.array(*[tagged(n, c) for n, c in dims.items()]))
-        e = d.select(key, module.alias("module"), F.explode(each).alias("x")).where("module is not null and x.v is not null and x.v <> ''")
-        return e.select(key, "module", "x.d", "x.v")
-
-    q = values(questions, "question_id", F.col("module"), {"question_type": F.array("question_type"), "ability": F.col("abilities"), "actual_task": tokens(F.col("statement")), "evidence_structure": tokens(F.col("evidence"))})
-    c = values(cards.withColumn("_m", F.explode(F.array_distinct("modules"))), "card_id", F.col("_m"), {"question_type": F.col("question_types"), "ability": F.col("abilities"), "actual_task": tokens(F.col("statement")), "evidence_structure": tokens(F.col("evidence"))})
-    pairs = q.join(c, ["module", "d", "v"]).select("question_id", "card_id", "d").distinct()
-    return pairs.groupBy("question_id", "card_id").agg(F.array_sort(F.collect_set("d")).alias("dimensions"))
-
-
-def score_matches(pairs: DataFrame) -> DataFrame:
-    """dimensions -> score (10 for each of type and ability, 1 for each dimension) and applicable."""
-    core = F.size(F.array_intersect("dimensions", F.array(F.lit("question_type"), F.lit("ability"))))
-    return pairs.withColumn("applicable", core > 0).withColumn("score", 10 * core + F.size("dimensions"))
-
-
 def _tokens(t: str | None) -> set[str]:
     """Search tokens of a text as in functions.text.tokens, with case folded."""
     t = re.sub(r"\s+", "", t or "").casefold()
@@ -68,9 +47,17 @@ def _labels(values) -> set[str]:
     return {v for v in ([] if values is None else values) if v}
 
 
-def _best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-    """The questions of one block against the cards of one block; a part of best_matches."""
-    c = c.sort_values("card_id", ignore_index=True)
+#: Why a pair is as it is: code and text (fixed values).
+REASONS = {
+    "other_module": "板块不一致，记录为不适用；不得迁移具体答案或评分口径。",
+    "single_label": "仅有单一表面标签相同，未达到方法适用门槛。",
+    "unrelated": "未发现核心任务、证据结构或成组标签的一致性。",
+}
+DIMENSIONS = ["question_type", "ability", "actual_task", "evidence_structure"]
+
+
+def _hits(q: pd.DataFrame, c: pd.DataFrame) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """For each question of one block the cards of one block that it meets in each dimension."""
     sides = {
         "question_type": ([_labels([v]) for v in q["question_type"]], (_labels(v) for v in c["question_types"])),
         "ability": ([_labels(v) for v in q["abilities"]], (_labels(v) for v in c["abilities"])),
@@ -84,33 +71,49 @@ def _best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
             for v in values & lists.keys():
                 lists[v].append(k)
         at[d] = {v: np.array(l) for v, l in lists.items() if l}
-    rows = []
-    for i, question in enumerate(q["question_id"]):
+    for i in range(len(q)):
         hit = {}
         for d, (asked, _) in sides.items():
             hit[d] = np.zeros(len(c), bool)
             for v in asked[i] & at[d].keys():
                 hit[d][at[d][v]] = True
-        core = hit["actual_task"].astype(int) + hit["evidence_structure"]
-        ok = np.flatnonzero((core > 0) | hit["question_type"] & hit["ability"])
-        if len(ok):
-            score = (11 * core + hit["question_type"] + hit["ability"])[ok]
-            rows.append((question, len(ok), int(score.max()), c["card_id"][ok[score.argmax()]]))
-    return pd.DataFrame(rows, columns=["question_id", "cards", "best_score", "best_card"])
+        yield i, hit
 
 
-def best_matches(questions: DataFrame, cards: DataFrame) -> DataFrame:
-    """(question_id, cards, best_score, best_card): per question the number of applicable cards, the
-    best score and the first card with it, over every question and card of one module.
+def _judged(hit: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(applicable, score, number of dimensions) of one question and all cards of a block."""
+    core = hit["actual_task"].astype(int) + hit["evidence_structure"]
+    labels = hit["question_type"].astype(int) + hit["ability"]
+    return (core > 0) | (labels == 2), 10 * core + core + labels, core + labels
 
-    Columns as in match_dimensions, ids not repeated. Core are actual_task and evidence_structure: a
-    card is applicable if it shares one of them or both labels (question_type and ability); the score
-    is 10 for each core dimension and 1 for each dimension. Questions without an applicable card give
-    no row; null ids and modules take no part, null and blank values match nothing.
 
-    The texts have so many tokens in common that a join on tokens makes each pair many times over. So
-    the module's questions and cards are cut into blocks, and a task looks up the tokens of a block of
-    questions in a block of cards; nothing but one row per question and block of cards leaves it.
+def _best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    """The questions of one block against the cards of one block; a part of best_matches."""
+    c = c.sort_values("card_id", ignore_index=True)
+    rows = []
+    for i, hit in _hits(q, c):
+        ok, score, dims = _judged(hit)
+        best = int(np.where(ok, score, -1).argmax()) if ok.any() else None
+        rows.append((q["question_id"].iloc[i], int(ok.sum()), int((~ok & (dims > 0)).sum()), int((dims == 0).sum()), None if best is None else int(score[best]), None if best is None else c["card_id"][best]))
+    return pd.DataFrame(rows, columns=["question_id", "applicable", "single_label", "unrelated", "best_score", "best_card"]).astype({"best_score": "Int32"})
+
+
+def _pairs(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    """Every pair of one block with a dimension in common; a part of match_pairs."""
+    rows = []
+    for i, hit in _hits(q, c):
+        ok, score, dims = _judged(hit)
+        for k in np.flatnonzero(dims):
+            rows.append((q["question_id"].iloc[i], c["card_id"].iloc[k], [d for d in DIMENSIONS if hit[d][k]], int(score[k]), bool(ok[k])))
+    return pd.DataFrame(rows, columns=["question_id", "card_id", "dimensions", "score", "applicable"])
+
+
+def _blocked(questions: DataFrame, cards: DataFrame, work, schema: str) -> DataFrame:
+    """work(questions of a block, cards of a block) for every two blocks of one module.
+
+    The texts have so many tokens in common that a join on tokens would make each pair many times over.
+    So a module's questions and cards are cut into blocks of BLOCK rows, and a task looks up the tokens
+    of one block of questions in one block of cards; a hot module is many blocks.
     """
     q = questions.where("question_id is not null and module is not null").select("question_id", "module", "question_type", "abilities", "statement", "evidence")
     c = cards.where("card_id is not null").select("card_id", F.explode(F.array_distinct("modules")).alias("module"), "question_types", "abilities", "statement", "evidence").where("module is not null")
@@ -126,7 +129,48 @@ def best_matches(questions: DataFrame, cards: DataFrame) -> DataFrame:
         return d.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col(f"_n{other}") - 1))).drop("_nq", "_nc")
 
     keys = ["module", "_q", "_c"]
-    kinds = f"question_id {q.schema['question_id'].dataType.simpleString()}, cards long, best_score int, best_card {c.schema['card_id'].dataType.simpleString()}"
-    parts = placed(q, "question_id", "q", "c").groupBy(*keys).cogroup(placed(c, "card_id", "c", "q").groupBy(*keys)).applyInPandas(_best, kinds)
-    first = F.min_by("best_card", F.struct(-F.col("best_score"), F.col("best_card")))
-    return parts.groupBy("question_id").agg(F.sum("cards").alias("cards"), F.max("best_score").alias("best_score"), first.alias("best_card"))
+    kinds = f"question_id {q.schema['question_id'].dataType.simpleString()}, {schema.format(card=c.schema['card_id'].dataType.simpleString())}"
+    return placed(q, "question_id", "q", "c").groupBy(*keys).cogroup(placed(c, "card_id", "c", "q").groupBy(*keys)).applyInPandas(work, kinds)
+
+
+def best_matches(questions: DataFrame, cards: DataFrame) -> DataFrame:
+    """(question_id, applicable, single_label, unrelated, other_module, best_score, best_card): per question
+    how many cards are applicable, share but one label, share nothing, or are of another module; the
+    best score of the applicable ones and the first card with it. Every question with every card.
+
+    questions(question_id, module, question_type, abilities, statement, evidence) and cards(card_id,
+    modules, question_types, abilities, statement, evidence), ids not repeated. Only cards of the
+    question's module are compared, in four dimensions: question type, an ability, a token of the
+    statements (actual_task) and one of the evidence (evidence_structure). A card is applicable if one
+    of the last two meets, or both labels do; the score is 10 for each of the last two and 1 for each
+    dimension. A question without module meets no card; null ids take no part, null and blank values
+    match nothing.
+    """
+    parts = _blocked(questions, cards, _best, "applicable long, single_label long, unrelated long, best_score int, best_card {card}")
+    first = F.min_by("best_card", F.when(F.col("best_score").isNotNull(), F.struct(-F.col("best_score"), F.col("best_card"))))
+    g = parts.groupBy("question_id").agg(*[F.sum(n).alias(n) for n in ("applicable", "single_label", "unrelated")], F.max("best_score").alias("best_score"), first.alias("best_card"))
+    all_cards = cards.where("card_id is not null").agg(F.count("*").alias("_all"))  # one row
+    out = questions.where("question_id is not null").select("question_id").join(g, "question_id", "left").crossJoin(F.broadcast(all_cards)).na.fill(0, ["applicable", "single_label", "unrelated"])
+    other = F.col("_all") - F.col("applicable") - F.col("single_label") - F.col("unrelated")
+    return out.select("question_id", "applicable", "single_label", "unrelated", other.alias("other_module"), "best_score", "best_card")
+
+
+def match_pairs(questions: DataFrame, cards: DataFrame) -> DataFrame:
+    """(question_id, card_id, dimensions, score, applicability, reason): every pair with a dimension in common.
+
+    Pairs with none are counted by best_matches and have no row here: their score is 0 and their reason
+    one of two. Order by question_id, applicable first, score downwards, card_id.
+    """
+    d = _blocked(questions, cards, _pairs, "card_id {card}, dimensions array<string>, score int, applicable boolean")
+    met = F.concat(F.lit("题目与知识卡在"), F.array_join("dimensions", "、"), F.lit("维度达到保守适用门槛；仍须核对本题证据与评分边界。"))
+    state = F.when(F.col("applicable"), "applicable").otherwise("not_applicable")
+    return d.select("question_id", "card_id", "dimensions", "score", state.alias("applicability"), F.when(F.col("applicable"), met).otherwise(F.lit(REASONS["single_label"])).alias("reason"))
+
+
+def pre_decisions(pairs: DataFrame, questions: DataFrame, cards: DataFrame, withheld: list[str]) -> DataFrame:
+    """(question_id, decision, card_ids): the applicable cards of each question in order, without cards of a
+    withheld status(card_id, status); 'not_applicable' where none is left."""
+    open_ = cards.where(~F.coalesce(F.col("status").isin(withheld), F.lit(False))).select("card_id")
+    own = pairs.where("applicability = 'applicable'").join(open_, "card_id", "left_semi").groupBy("question_id").agg(F.array_sort(F.collect_set("card_id")).alias("card_ids"))
+    d = questions.select("question_id").distinct().join(own, "question_id", "left")
+    return d.select("question_id", F.when(F.col("card_ids").isNull(), "not_applicable").otherwise("applicable").alias("decision"), F.coalesce("card_ids", F.array().cast("array<string>")).alias("card_ids"))

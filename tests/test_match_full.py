@@ -43,8 +43,10 @@ def test_best_matches_by_text_and_by_label(spark, monkeypatch, block):
     assert want["q1"] == (3, 13, "c1") and "q4" not in want and want["q5"] == (1, 2, "c1") and want["q6"] == (2, 11, "c2")
     questions = spark.createDataFrame([*q, ("q7", None, "t1", ["a"], "概括段落", "第3段"), (None, *q[0][1:])], "question_id string, module string, question_type string, abilities array<string>, statement string, evidence string")
     cards = spark.createDataFrame([*c, (None, *c[0][1:])], "card_id string, modules array<string>, question_types array<string>, abilities array<string>, statement string, evidence string")
-    assert {r.question_id: tuple(r)[1:] for r in match.best_matches(questions, cards).collect()} == want
-    assert match.best_matches(questions, cards.limit(0)).count() == match.best_matches(questions.limit(0), cards).count() == 0
+    assert {r.question_id: (r.applicable, r.best_score, r.best_card) for r in match.best_matches(questions, cards).collect() if r.applicable} == want
+    all_ = {r.question_id: r for r in match.best_matches(questions, cards).collect()}
+    assert set(all_) == {f"q{k}" for k in range(1, 8)} and all(r.applicable + r.single_label + r.unrelated + r.other_module == 5 for r in all_.values()) and all_["q7"].other_module == 5
+    assert match.best_matches(questions, cards.limit(0)).agg(F.sum("other_module")).first()[0] == 0 and match.best_matches(questions.limit(0), cards).count() == 0
 
 
 @pytest.mark.parametrize("body", ["## 支持证据\n\n一\n二\n\n## 反例\n三", "前\n##  支持证据 \n一", "## 支持证据\n旧\n## 甲\n## 支持证据\n新 ## 乙\n### 丙", "## 支持证据", "无", "", None])
@@ -59,5 +61,5 @@ def test_query_equals_brute_force(spark, data):
 
     q = [(r.question_id, r.module, r.question_type, r.abilities, r.task_statement, " ".join(v for v in [r.evidence_anchor, *(r.retrieval_queries or [])] if v)) for r in first("question_knowledge", "question_id")]
     c = [(r.card_id, r.metadata.modules, r.metadata.question_types, r.metadata.abilities, sections(r.body).get("知识表述"), sections(r.body).get("支持证据")) for r in first("knowledge_cards", "card_id")]
-    got = {r.question_id: (r.cards, r.best_score, r.best_card) for r in entry.queries()["question_card_match_full"](spark, data).collect()}
+    got = {r.question_id: (r.applicable, r.best_score, r.best_card) for r in entry.queries()["question_card_match"](spark, data).collect() if r.applicable}
     assert got == brute(q, c) and got
