@@ -1,35 +1,44 @@
-"""Arrow functions for what Spark has no built-in for: Unicode forms, offsets, bounded decoding, host paths."""
+"""Arrow functions for what Spark has no built-in for: Unicode forms and offsets of matches."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from urllib.parse import unquote_to_bytes, urlsplit
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 @F.pandas_udf(T.StringType())
-def casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: v.casefold(), na_action="ignore")
+def _casefold(s: pd.Series) -> pd.Series:
+    return s.map(str.casefold, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
+def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
 
-def _slug(v: str) -> str | None:
-    v = re.sub(r"[^\w.-]+", "-", unicodedata.normalize("NFKC", v).strip()).strip("-.")[:80]
-    return v or None
+@F.pandas_udf(T.StringType())
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def slug(s: pd.Series) -> pd.Series:
-    """A portable file name; null where nothing is left."""
-    return s.map(_slug, na_action="ignore")
+def casefold(c) -> Column:
+    return _casefold(c)
+
+
+def nfc(c) -> Column:
+    return _nfc(c)
+
+
+def slug(c) -> Column:
+    """A portable file name of at most 80 characters; null where nothing is left, null stays null."""
+    v = F.regexp_replace(_nfkc(c), r"(?U)^\s+|\s+$", "")
+    v = F.substring(F.regexp_replace(F.regexp_replace(v, r"(?U)[^\w.-]+", "-"), r"^[-.]+|[-.]+$", ""), 1, 80)
+    return F.when(v != "", v)
 
 
 def matches_of(pattern: str):
@@ -42,92 +51,3 @@ def matches_of(pattern: str):
         return s.map(lambda v: [{"start": m.start(), "text": m.group(), "group": m.group(1) if r.groups else None} for m in r.finditer(v)], na_action="ignore")
 
     return find
-
-
-_BROKEN_ESCAPE = re.compile(r"%(?![0-9A-Fa-f]{2})")
-
-
-def decode_fully(value: str, rounds: int = 4) -> str | None:
-    """Percent-decoding until nothing changes, at most `rounds` times. Null for a broken escape, bytes
-    that are no UTF-8, a control or format character, or a value that still changes after the last round."""
-    for _ in range(rounds + 1):
-        if _BROKEN_ESCAPE.search(value) or any(unicodedata.category(c) in ("Cc", "Cf") for c in value):
-            return None
-        try:
-            nxt = unquote_to_bytes(value).decode("utf-8")
-        except UnicodeDecodeError:
-            return None
-        if nxt == value:
-            return value
-        value = nxt
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def percent_decode(s: pd.Series) -> pd.Series:
-    return s.map(decode_fully, na_action="ignore")
-
-
-#: Directories at the root of a file system (fixed values).
-ROOTS = {"Applications", "Library", "Users", "Volumes", "data", "etc", "home", "mnt", "opt", "private", "root", "srv", "tmp", "usr", "var", "workspace"}
-#: First directories of site-relative links that are public (fixed values).
-PUBLIC = {"agent-guides", "api", "assets", "config", "docs", "examples", "help", "images", "knowledge", "scripts", "src", "static", "templates", "tests", ".github"}
-_WEB = re.compile(r"(?i)\bhttps?://[^\s<>\"']+")
-_LINK = re.compile(r"!?\[[^\]\n]*\]\([ \t]*(<[^<>\n]*>|[^\s()<>]+)(?:[ \t]+(?:\"[^\"\n]*\"|'[^'\n]*'))?[ \t]*\)")
-_STAND_IN = re.compile(r"<[A-Za-z][\w-]*>/[\w.~+/-]+")
-_OUTRIGHT = re.compile(r"(?i)file:[\\/]{1,3}|(?<![a-z0-9\\])[a-z]:[\\/]|(?<!\\)\\\\[a-z0-9][\w.-]*\\[^\\\s]+|(?<![:/])//[\w.-]+/[\w.~-]+")
-_ROOTED = re.compile(r"(?<![\w:/.-])/(?!/)([\w㐀-鿿.~+-][^\s'\"<>()\[\]{}]*)")
-_NAMED = re.compile(r"(?i)(?:source|path|file|locator|location|at|位于|路径|来源)\s*[:=]?\s*$|\]\(\s*$|(?:\d*>|<)\s*$")
-
-
-def _link_state(target: str) -> str:
-    """'safe' (may be masked), 'unsafe' (a host path) or 'plain' of a Markdown link's target."""
-    target = target[1:-1] if target[:1] == "<" and target[-1:] == ">" else target
-    if re.match(r"(?i)https?://", target):
-        try:
-            parts = urlsplit(target)
-        except ValueError:
-            return "plain"
-        bad = any(decode_fully(x) is None or ".." in decode_fully(x).split("/") or "\\" in x for x in (parts.path, parts.query, parts.fragment))
-        return "unsafe" if bad else "safe"
-    plain = decode_fully(target) if "%" in target else target
-    if plain is None or _OUTRIGHT.search(plain) or not target.startswith("/") and plain.startswith("/"):
-        return "unsafe"
-    if not plain.startswith("/"):
-        return "plain"
-    parts = plain.split("#")[0].split("?")[0][1:].split("/")
-    hidden = re.search(r"(?:[?#&=])/[^/\s]", plain)
-    fine = parts[0] in PUBLIC or len(parts) == 1 and re.fullmatch(r"(?:README[\w.-]*|LICENSE|NOTICE|CHANGELOG|CONTRIBUTING|SECURITY)(?:\.md)?", parts[0])
-    return "safe" if fine and not hidden and not any(p in ("", ".", "..") for p in parts) else "unsafe"
-
-
-def host_path(text: str) -> bool:
-    """Whether a text names an absolute path of some host; web addresses, public site links and
-    documented stand-ins like <root>/x don't count."""
-    hide = []
-    for m in _WEB.finditer(text):
-        hide.append((m.start(), m.start() + len(m.group().rstrip(".,;!?)]}"))))
-    hide += [m.span() for m in _STAND_IN.finditer(text)]
-    for m in _LINK.finditer(text):
-        state = _link_state(m.group(1))
-        if state == "unsafe":
-            return True
-        if state == "safe":
-            hide.append(m.span(1))
-    for a, b in hide:
-        text = text[:a] + " " * (b - a) + text[b:]
-    if _OUTRIGHT.search(text):
-        return True
-    for m in _ROOTED.finditer(text):
-        parts = [p for p in m.group(1).rstrip(".,;:!?").split("/") if p]
-        if not parts or parts[:2] in (["bin", "bash"], ["bin", "sh"], ["usr", "bin"]):
-            continue
-        if parts[0] in ROOTS or len(parts) > 1 or "\\" in m.group(1) or _NAMED.search(text[max(0, m.start() - 32) : m.start()]):
-            return True
-    return False
-
-
-@F.pandas_udf(T.BooleanType())
-def names_host_path(s: pd.Series) -> pd.Series:
-    """host_path() per row; rows without a slash or backslash are answered without a scan; null stays null."""
-    return s.map(lambda v: host_path(v) if "/" in v or "\\" in v else False, na_action="ignore")
