@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.operators.ordered import numbered
+
 
 def exact_groups(df: DataFrame, key: str, content: Column) -> DataFrame:
     """(digest, first_key, copies) per distinct content; null content is left out.
@@ -26,10 +28,12 @@ def ordered_fingerprint(parts: Column) -> Column:
 
 
 def revision_ledger(df: DataFrame, group: list[str], order: str, content: str) -> DataFrame:
-    """Versions of each group in order: version, digest, previous digest and what changed."""
-    w = Window.partitionBy(*group).orderBy(order)
-    d = df.withColumn("digest", F.sha2(F.coalesce(F.col(content), F.lit("")), 256))
-    d = d.withColumn("version", F.row_number().over(w)).withColumn("previous", F.lag("digest").over(w))
+    """Versions of each group in order: version, digest, previous digest and what changed.
+
+    A group with a third of all rows is numbered in ranges (operators.ordered); null content counts as empty.
+    """
+    d = df.select(*group, order, F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("digest"))
+    d = numbered(d, group, [order], "digest", "version", "previous")
     kind = F.when(F.col("previous").isNull(), "initial").when(F.col("previous") != F.col("digest"), "content_changed").otherwise("unchanged")
     return d.select(*group, order, "version", "digest", "previous", kind.alias("change"))
 
@@ -54,3 +58,31 @@ def receipt(recorded: DataFrame, found: DataFrame, key: str, digest: str) -> Dat
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: how many rows of either side the other lacks, duplicates counted."""
     return a.exceptAll(b).agg(F.count("*").alias("only_left")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("only_right")))
+
+
+def exact_roles(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, later) of files(ord, path, digest, role, size). kept(digest, path, role, size, copies, conflict):
+    the first file by `ord`, then path, stands for a content and keeps its role; conflict: the copies name
+    different roles ('auto' agrees with any). later(digest, path, first_path): the other files, one row each,
+    so that a content with a third of all rows is no array. Null digests are left out.
+    """
+    d = files.where("digest is not null").select("ord", "path", "digest", "role", "size")
+    role = F.when(F.col("role") != "auto", F.col("role"))
+    g = d.groupBy("digest").agg(F.min(F.struct("ord", "path", "role", "size")).alias("_f"), F.count("*").alias("copies"), F.min(role).alias("_lo"), F.max(role).alias("_hi"))
+    kept = g.select("digest", "_f.path", "_f.role", "_f.size", "copies", F.coalesce(F.col("_lo") != F.col("_hi"), F.lit(False)).alias("conflict"))
+    first = g.where("copies > 1").select("digest", F.col("_f.ord").alias("_o"), F.col("_f.path").alias("first_path"))
+    later = d.join(first, "digest").where(~(F.col("ord").eqNullSafe(F.col("_o")) & F.col("path").eqNullSafe(F.col("first_path")))).select("digest", "path", "first_path")
+    return kept, later
+
+
+def ordered_coverage(expected: DataFrame, actual: DataFrame, group: str, key: str, position: str) -> DataFrame:
+    """(group, same): whether the keys of a group stand in `actual` exactly as in `expected`, in the same
+    order of `position` and as often. A full join of ranks; groups that only one side has are not the same."""
+
+    def ranked(d: DataFrame, name: str) -> DataFrame:
+        d = d.where(F.col(group).isNotNull()).select(group, position, key)
+        return numbered(d, [group], [position], key, "_r", "_p").select(group, "_r", F.struct(F.col(key).alias("k")).alias(name))
+
+    both = ranked(expected, "_e").join(ranked(actual, "_a"), [group, "_r"], "full_outer")
+    alike = F.col("_e").isNotNull() & F.col("_a").isNotNull() & F.col("_e.k").eqNullSafe(F.col("_a.k"))
+    return both.groupBy(group).agg(F.bool_and(alike).alias("same"))

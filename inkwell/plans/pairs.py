@@ -13,19 +13,21 @@ def salted_self_pairs(members: DataFrame, group: list[str], key: str, differ: st
     """All pairs (left, right) of `key` within a group, left < right, each once.
 
     `differ`: only pairs whose values of that column differ. A group of n rows is cut into
-    ceil(n / block) blocks on the left; the right side is repeated once per block, so that a task
-    holds at most block x n pairs of a group whatever its size. Null keys or groups make no pair.
+    s = ceil(n / block) blocks; every two blocks meet under a key of their own, so a join key holds at
+    most `block` rows of either side whatever the group's size, and each row is repeated s times a side.
+    Null keys or groups make no pair.
     """
     own = members.select(*group, F.col(key), *([differ] if differ else [])).dropna(subset=[*group, key]).distinct()
     size = own.groupBy(*group).agg(F.count("*").alias("_n"), *([F.min(differ).alias("_lo"), F.max(differ).alias("_hi")] if differ else []))
-    size = size.where("_n > 1" + (" and _lo <> _hi" if differ else "")).select(*group, F.ceil(F.col("_n") / block).cast("int").alias("_salts"))
-    sized = own.join(size, group)
-    left = sized.select(*group, F.col(key).alias("left"), *([F.col(differ).alias("_dl")] if differ else []), F.pmod(F.xxhash64(key), F.col("_salts")).cast("int").alias("_salt"))
-    right = sized.select(*group, F.col(key).alias("right"), *([F.col(differ).alias("_dr")] if differ else []), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+    size = size.where("_n > 1" + (" and _lo <> _hi" if differ else "")).select(*group, F.ceil(F.col("_n") / block).cast("int").alias("_s"))
+    placed = own.join(size, group).withColumn("_x", F.pmod(F.xxhash64(key), F.col("_s")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_s") - 1))
+    left = placed.select(*group, F.col(key).alias("left"), *([F.col(differ).alias("_dl")] if differ else []), F.col("_x").alias("_xl"), other.alias("_xr"))
+    right = placed.select(*group, F.col(key).alias("right"), *([F.col(differ).alias("_dr")] if differ else []), F.col("_x").alias("_xr"), other.alias("_xl"))
     cond: Column = F.col("left") < F.col("right")
     if differ:
         cond = cond & (F.col("_dl") != F.col("_dr"))
-    return left.join(right, [*group, "_salt"]).where(cond).select(*group, "left", "right")
+    return left.join(right, [*group, "_xl", "_xr"]).where(cond).select(*group, "left", "right")
 
 
 def expand_class_pairs(pairs: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -29,7 +29,7 @@ def docx_text(content: bytes) -> str:
             lines.append("".join(t.text or "" for t in part.iter(f"{_W}t")))
         elif part.tag == f"{_W}tbl":
             for row in part.iter(f"{_W}tr"):
-                cells = ["".join(t.text or "" for t in c.iter(f"{_W}t")).strip() for c in row.iter(f"{_W}tc")]
+                cells = ["\n".join("".join(t.text or "" for t in p.iter(f"{_W}t")) for p in c.iter(f"{_W}p")).strip() for c in row.iter(f"{_W}tc")]
                 if any(cells):
                     lines.append("\t".join(cells))
     return "\n".join(lines)
@@ -89,11 +89,42 @@ def read_cards(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return raw.mapInPandas(run, "path string, meta string, body string, error string").select("path", F.from_json("meta", schema).alias("metadata"), "body", "error")
 
 
-def captured_inventory(listing: DataFrame, column: str) -> DataFrame:
+def null_split(listing: DataFrame, column: str) -> DataFrame:
     """(path): the paths of a listing whose entries end with NUL; empty ones left out."""
     return listing.select(F.explode(F.split(column, "\\x00")).alias("path")).where("path <> ''")
 
 
-def bounded(files: DataFrame, limit: int = 2 * 1024 * 1024) -> DataFrame:
-    """Files up to a size; the length is tested before any content is read."""
-    return files.where(F.col("length") <= limit)
+def bounded(files: DataFrame, wanted: DataFrame, limit: int = 2 * 1024 * 1024) -> DataFrame:
+    """(path, length, content, state) of the wanted(path) among files(path, length, content): 'read', 'too_large'
+    (content null; the length is tested before any content is read) or 'missing'."""
+    small = files.where(F.col("length") <= limit).select("path", "content")
+    d = wanted.select("path").distinct().join(files.select("path", "length"), "path", "left").join(small, "path", "left")
+    return d.select("path", "length", "content", F.when(F.col("length").isNull(), "missing").when(F.col("length") > limit, "too_large").otherwise("read").alias("state"))
+
+
+def page_images(images: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc, page, state) of images(doc, name) against counts(doc, pages): names page-N with N from 1 to pages,
+    each once. state is present, duplicate, missing, out_of_range or unnamed (page null)."""
+    number = F.regexp_extract("name", r"^page-(\d+)(?:\.[^.]*)?$", 1).try_cast("int")
+    have = images.select("doc", number.alias("page")).groupBy("doc", "page").agg(F.count("*").alias("n"))
+    want = counts.where("pages > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("pages").cast("int"))).alias("page"), F.lit(True).alias("_in"))
+    d = have.join(want, (have["doc"] == want["doc"]) & (have["page"] == want["page"]), "full_outer").select(F.coalesce(have["doc"], want["doc"]).alias("doc"), F.coalesce(have["page"], want["page"]).alias("page"), "n", "_in")
+    state = F.when(F.col("page").isNull(), "unnamed").when(F.col("_in").isNull(), "out_of_range").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "duplicate").otherwise("present")
+    return d.select("doc", "page", state.alias("state"))
+
+
+def content_files(files: DataFrame, modules: dict[str, str], overviews: list[str] = ()) -> DataFrame:
+    """(path, module, state) of the Markdown files of files(path): the module that a file's name stands for,
+    'overview', or 'unknown_module_file'. The suffix counts in any case; other files have no row."""
+    name = F.element_at(F.split("path", "/"), -1)
+    known = F.create_map(*[F.lit(x) for p in modules.items() for x in p]) if modules else F.create_map().cast("map<string,string>")
+    d = files.select("path", name.alias("_n")).where(F.lower("_n").endswith(".md")).withColumn("module", F.try_element_at(known, F.col("_n")))
+    state = F.when(F.col("module").isNotNull(), "module").when(F.col("_n").isin(list(overviews)), "overview").otherwise("unknown_module_file")
+    return d.select("path", "module", state.alias("state"))
+
+
+def read_versioned(spark: SparkSession, path: str, schema: str, version: int = 1) -> DataFrame:
+    """One row per JSON file under path, with the given schema; an error at the first file of another schema_version."""
+    d = spark.read.text(path, wholetext=True).select(F.from_json("value", f"schema_version int, {schema}").alias("j")).select("j.*")
+    sound = F.assert_true(F.coalesce(F.col("schema_version") == version, F.lit(False)), f"schema_version must be {version}")
+    return d.where(sound.isNull())

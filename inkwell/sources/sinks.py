@@ -36,3 +36,44 @@ def issues_as_json(issues: DataFrame) -> DataFrame:
 
     columns = sorted(issues.columns)
     return issue_order(issues).select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def issues_as_text(issues: DataFrame) -> DataFrame:
+    """(n, line): one line per issue in their one order, and a last one that counts them; n is the line's place."""
+    from inkwell.operators.audit import issue_order
+
+    place = F.concat_ws(":", F.col("path"), F.col("line").cast("string")) if "line" in issues.columns else F.col("path")
+    lines = issue_order(issues).select(F.concat_ws(" ", F.upper("level"), F.concat(F.lit("["), F.col("code"), F.lit("]")), place, F.col("message") if "message" in issues.columns else F.lit("")).alias("line"))
+    total = issues.agg(F.format_string("%d errors, %d warnings", F.count_if(F.col("level") == "error"), F.count_if(F.col("level") == "warning")).alias("line"))
+    return lines.select(F.monotonically_increasing_id().alias("n"), "line").unionByName(total.select(F.lit(2**62).alias("n"), "line"))
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Text files of pages(doc, page, text) in order, each page under a line with its number. A document may go
+    over several files: the rows are spread by range, so no task holds a whole document."""
+    marked = F.concat(F.lit("<!-- page "), F.col("page").cast("string"), F.lit(" -->\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    pages.repartitionByRange("doc", "page").sortWithinPartitions("doc", "page").select(marked.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """JSON lines with keys in order of name and nulls kept, so that equal records are equal lines."""
+    columns = sorted(records.columns)
+    records.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false", "sortKeys": "true"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def file_receipt(files: DataFrame, fingerprint: str) -> DataFrame:
+    """(fingerprint, path, sha256) of files(path, content), one row per path."""
+    return manifest(files).select(F.lit(fingerprint).alias("fingerprint"), "path", "sha256")
+
+
+def valid_log_events(events: DataFrame, name: str, kinds: list[str]) -> DataFrame:
+    """events(task_id, event, details) with `valid`: a portable task name, a known event, details that are safe JSON
+    (functions.text.json_safe). A log's file name must be portable, else an error."""
+    import re
+
+    from inkwell.functions.text import json_safe
+
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]{0,79}", name):
+        raise ValueError("the log's name is not portable")
+    ok = F.col("task_id").rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,79}$") & F.col("event").isin(kinds) & (F.col("details").isNull() | json_safe(F.col("details")))
+    return events.withColumn("valid", F.coalesce(ok, F.lit(False)))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.plans.cut import shared_dir
+from inkwell.plans.cut import own_path
 
 
 def append_events(events: DataFrame, log: str) -> None:
@@ -22,7 +20,7 @@ def counts_from_stream(spark: SparkSession, source: str, schema, group: list[str
     adds its partial counts to a table in the state folder under its own number, so a batch that is
     repeated after a failure replaces itself and nothing counts twice.
     """
-    state = state or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    state = state or own_path(spark, "stream")
 
     def add(batch: DataFrame, number: int) -> None:
         batch.groupBy(*group).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{state}/counts/batch={number}")
