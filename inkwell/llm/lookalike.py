@@ -38,6 +38,8 @@ LOOK_ALIKE = {
 }
 #: Letters of Cherokee and Roman numerals with the shape of Latin capitals (fixed values).
 LOOK_ALIKE |= {"Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z"}
+#: Kana and Bopomofo with the shape of an ideograph, those of the public table of confusables (fixed values).
+LOOK_ALIKE |= {"エ": "工", "オ": "才", "カ": "力", "タ": "夕", "ト": "卜", "ニ": "二", "ノ": "丿", "ハ": "八", "ロ": "口", "ー": "一", "ㄏ": "厂", "ㄒ": "丅", "ㄚ": "丫", "ㄗ": "卩", "ㆍ": "·"}
 #: Compatibility tags whose decomposition is another form of the same sign. Raised, lowered and circled signs, fractions and squared words look different and stay.
 SAME_SHAPE = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
 #: <compat> decompositions that are taken: ligatures, radicals and letters; those that begin with a space, enclosed numbers and words are not.

@@ -81,61 +81,6 @@ def p2_canonical(spark: SparkSession, root: str) -> DataFrame:
     return one.select("table_name", "record_key", "canonical", (~F.col("text").eqNullSafe(F.col("canonical"))).alias("changed"))
 
 
-def p3_records(spark: SparkSession, root: str) -> DataFrame:
-    pages = table(spark, root, "page_texts").select(F.lit("page_texts").alias("name"), F.col("page_key").alias("key"), F.col("doc_id").alias("doc"), F.col("page_no").alias("page"), "text", F.lit(False).alias("inside"))
-    questions = table(spark, root, "question_candidates").select(F.lit("question_candidates").alias("name"), F.col("candidate_key").alias("key"), F.col("doc_id").alias("doc"), F.col("page_start").alias("page"), "text", F.lit(True).alias("inside"))
-    return pages.unionByName(questions)
-
-
-def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    return scan.scan_noise(p3_records(spark, root)).select(F.col("name").alias("table_name"), F.col("key").alias("record_key"), F.col("kind").alias("noise_kind"))
-
-
-def p3_repaired(spark: SparkSession, root: str) -> DataFrame:
-    """Every page and question in continuous paragraphs."""
-    fixed = scan.repaired_texts(p3_records(spark, root)).select(F.col("name").alias("table_name"), F.col("key").alias("record_key"), "text", "changed")
-    return fixed.distinct()
-
-
-def p4_records(spark: SparkSession, root: str) -> DataFrame:
-    rows = first_per_key(table(spark, root, "candidate_knowledge").select("candidate_id", "title", "statement", "received_at"), "candidate_id")
-    text = F.concat(F.coalesce("title", F.lit("")), F.coalesce("statement", F.lit("")))
-    return rows.select(F.col("candidate_id").alias("key"), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "").alias("text"))
-
-
-def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    return near.near_pairs(p4_records(spark, root), 0.6).select(F.col("left").alias("left_id"), F.col("right").alias("right_id"))
-
-
-def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    return encoding.repair_encoding(table(spark, root, "page_texts"), "page_key", "text").select(F.col("key").alias("page_key")).distinct()
-
-
-def p5_restored(spark: SparkSession, root: str) -> DataFrame:
-    pages = first_per_key(table(spark, root, "page_texts").select("page_key", "text", "received_at"), "page_key")
-    return encoding.repair_encoding(pages, "page_key", "text").withColumnRenamed("key", "page_key")
-
-
-def p2_records(spark: SparkSession, root: str) -> DataFrame:
-    """(name, key, text) of the three tables; late duplicates are equal, so any one of them will do."""
-    out = None
-    for name, key, text in (("page_texts", "page_key", "text"), ("question_candidates", "candidate_key", "text"), ("knowledge_cards", "card_id", "body")):
-        own = table(spark, root, name).select(F.lit(name).alias("name"), F.col(key).alias("key"), F.col(text).alias("text"))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return lookalike.look_alike_pairs(p2_records(spark, root)).select(F.col("name").alias("table_name"), F.col("left").alias("left_key"), F.col("right").alias("right_key"))
-
-
-def p2_canonical_cards(spark: SparkSession, root: str) -> DataFrame:
-    """Each card's body in its one form, and whether that differs from what is stored."""
-    cards = first_per_key(table(spark, root, "knowledge_cards").select("card_id", "body", "received_at"), "card_id")
-    one = cards.select("card_id", "body", lookalike.canonical_text("body").alias("canonical"))
-    return one.select("card_id", "canonical", (~F.col("body").eqNullSafe(F.col("canonical"))).alias("changed"))
-
-
 def p6_records(spark: SparkSession, root: str) -> DataFrame:
     cards = table(spark, root, "knowledge_cards").select(F.lit("knowledge_cards").alias("name"), F.col("card_id").alias("key"), F.col("body").alias("text"))
     return cards.unionByName(table(spark, root, "blocks").select(F.lit("blocks").alias("name"), F.col("block_key").alias("key"), "text"))
