@@ -1,8 +1,8 @@
 """Problem 7: evaluation texts leaking into training text.
 
-Texts are compared by their letters and digits in one case. All n-grams of the test items are looked
-up in every document; of each stretch of an item the n-gram that the fewest documents hold is its
-seed, so seeds are rare. A run of the required length always covers a whole stretch and therefore a
+Texts are compared by their letters and digits in one case. A first pass counts, for all n-grams of
+the test items, the documents that hold them; of each stretch of an item the n-gram that the fewest
+documents hold is its seed, so seeds are rare, and a second pass looks up seeds only. A run of the required length always covers a whole stretch and therefore a
 seed: documents and items that share a seed are all candidates. Each candidate is extended from its
 seeds to its longest unbroken run, and aligned with the item (Smith-Waterman).
 
@@ -12,6 +12,7 @@ the score: an alignment with so few errors leaves so many short grams of the ite
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +26,23 @@ from inkwell.plans.cut import cut
 
 #: Length of an n-gram; an item whose required run is shorter uses the next smaller one that fits.
 GRAMS = (16, 8, 4, 2, 1)
-#: Bits of the filter that the items' n-grams set: a fixed size, whatever the number of items.
-FILTER_BITS = 1 << 22
-#: Stretches beside each other that a required run covers at least one of.
+#: Bits of the filter of the items' n-grams: BITS_PER for each n-gram, within these bounds (powers of two). A
+#: filter only saves work; beyond the upper bound it passes more, and the join that follows decides alone.
+BITS_PER, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 28
+#: Grams that a task gathers before it counts them.
+GATHERED = 1 << 20
 MATCH, MISMATCH, GAP = 2, -3, -4
 #: Lengths of the short grams that copies() counts; documents, and items, that one task compares; signs that are aligned at once.
 SHORT = (3, 4)
 DOCS, ITEMS, WIDTH = 4096, 256, 1 << 15
 
 
+_REST = re.compile(r"[\W_]+")
+
+
 def plain(text: str | None) -> str:
     """Letters and digits in one case."""
-    return "".join(c for c in (text or "").casefold() if c.isalnum())
+    return _REST.sub("", (text or "").casefold())
 
 
 def _gram_hashes(cps: np.ndarray, n: int) -> np.ndarray:
@@ -75,42 +81,96 @@ def item_grams(items: DataFrame, share: float) -> DataFrame:
     return items.where("item_id is not null and text is not null").mapInPandas(run, f"item_id {kind}, len int, need int, n int, stretch int, pos int, gram long")
 
 
+def _filter(grams: DataFrame) -> tuple[np.ndarray, int]:
+    """(bit field, number of bits - 1) of grams(gram): a bit for each, built in parts of 4 KB on the executors."""
+    n = grams.agg(F.approx_count_distinct("gram")).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(BITS_PER * max(1, n) - 1).bit_length()))
+
+    def part(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(4096, np.uint8)
+        at = p["b"].to_numpy(np.int64) & 32767
+        np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return pd.DataFrame({"part": [key[0]], "bits": [own.tobytes()]})
+
+    buckets = grams.select(F.col("gram").bitwiseAND(bits - 1).alias("b")).distinct().withColumn("part", F.shiftright("b", 15))
+    out = np.zeros(max(4096, bits // 8), np.uint8)
+    for r in buckets.groupBy("part").applyInPandas(part, "part long, bits binary").collect():  # MOST_BITS / 8 bytes at most
+        out[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out, bits - 1
+
+
+def _hits(field: np.ndarray, mask: int, sizes: list[int], texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, hash, position) of the n-grams that pass the filter, size by size."""
+    cps, offsets = _plain_points(texts)
+    for n in sizes:
+        h = _gram_hashes(cps, n).view(np.int64)
+        at = h & mask
+        ok = np.flatnonzero(field[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+        doc = np.searchsorted(offsets, ok, "right") - 1
+        inside = ok + n <= offsets[doc + 1]
+        ok, doc = ok[inside], doc[inside]
+        yield doc, h[ok], (ok - offsets[doc]).astype(np.int32)
+
+
+def document_frequencies(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
+    """(gram, df): in how many of docs(text) each of grams(gram) occurs, counted within tasks first; a task
+    sends each gram about once, however many documents have it."""
+    field, mask = _filter(grams)
+    known = docs.sparkSession.sparkContext.broadcast(field)
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            g, n = np.unique(np.concatenate(part), return_counts=True)
+            part.clear()
+            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], ["gram", "n"])
+
+        for b in it:
+            for doc, h, _ in _hits(known.value, mask, sizes, b.column(0).to_pylist()):
+                if len(h):
+                    order = np.lexsort((h, doc))
+                    h, doc = h[order], doc[order]
+                    part.append(h[np.r_[True, (np.diff(h) != 0) | (np.diff(doc) != 0)]])
+                    size += len(part[-1])
+            if size > GATHERED:
+                size = 0
+                yield flush()
+        if part:
+            yield flush()
+
+    return docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("df")).join(grams.select("gram").distinct(), "gram", "left_semi")
+
+
 def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, align: bool = True) -> DataFrame:
     """(doc_id, item_id, run, item_len, score): documents(doc_id, text) that share with an item of
     items(item_id, text) an unbroken run of at least `share` of the item's letters and digits.
 
     run is the longest such run; score the Smith-Waterman score over its greatest possible value, 1
     for a whole copy (null if align is off). Null ids, null and empty texts take no part. One row per
-    pair, whatever the number of copies of a passage in a document.
+    pair, whatever the number of copies of a passage in a document. The seeds are chosen from counts
+    over all documents; only then are the places of the seeds looked up.
     """
     spark = documents.sparkSession
     grams = cut(item_grams(items.select("item_id", "text"), share))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    buckets = grams.select(F.pmod("gram", F.lit(FILTER_BITS)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)  # at most FILTER_BITS rows
-    np.bitwise_or.at(bits, buckets >> 3, (1 << (buckets & 7)).astype(np.uint8))
     sizes = [r["n"] for r in grams.select("n").distinct().collect()]  # at most len(GRAMS) rows
-    known = spark.sparkContext.broadcast(bits)
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    df = document_frequencies(docs, grams, sizes)
+    # A gram that no document has would be the rarest of its stretch, and the stretch then stands nowhere.
+    seeds = grams.join(df, "gram", "left").groupBy("item_id", "stretch").agg(F.min_by(F.struct("gram", "pos", "len", "need", "n", "df"), F.struct(F.coalesce("df", F.lit(0)), "pos")).alias("s")).select("item_id", "s.*").where("df is not null").drop("df")
+    seeds = cut(seeds)
+    field, mask = _filter(seeds)
+    known = spark.sparkContext.broadcast(field)
 
     def hits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = known.value
         for b in it:
-            ids = b.column(0)
-            cps, offsets = _plain_points(b.column(1).to_pylist())
-            for n in sizes:
-                h = _gram_hashes(cps, n).view(np.int64)
-                at = np.mod(h, FILTER_BITS)
-                ok = np.flatnonzero(f[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-                doc = np.searchsorted(offsets, ok, "right") - 1
-                inside = ok + n <= offsets[doc + 1]
-                ok, doc = ok[inside], doc[inside]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(h[ok]), pa.array((ok - offsets[doc]).astype(np.int32))], ["doc_id", "gram", "at"])
+            for doc, h, at in _hits(known.value, mask, sizes, b.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(h), pa.array(at)], ["doc_id", "gram", "at"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    met = cut(docs.mapInArrow(hits, f"doc_id {kind}, gram long, at int").join(grams.select("gram").distinct(), "gram", "left_semi"))
-    df = met.groupBy("gram").agg(F.approx_count_distinct("doc_id").alias("df"))
-    seeds = grams.join(df, "gram").groupBy("item_id", "stretch").agg(F.min_by(F.struct("gram", "pos", "len", "need", "n"), F.struct("df", "pos")).alias("s")).select("item_id", "s.*")
-    cand = met.join(seeds, "gram").groupBy("doc_id", "item_id", "need").agg(F.collect_set(F.struct("pos", "at")).alias("seeds"))
+    met = docs.mapInArrow(hits, f"doc_id {kind}, gram long, at int")
+    cand = met.join(seeds, "gram").groupBy("doc_id", "item_id", "need").agg(F.collect_set(F.struct("pos", "at")).alias("seeds"))  # at most the text's own size
     own_kind = items.schema["item_id"].dataType.simpleString()
 
     def verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,8 +199,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, align: boo
                     rows.append((doc, item, best, len(x), align_score(x, y[lo:hi]) if align else None))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run", "item_len", "score"])
 
-    texts = docs.join(cand.select("doc_id").distinct(), "doc_id", "left_semi")
-    full = cand.join(texts, "doc_id").join(items.select("item_id", F.col("text").alias("passage")).where("text is not null"), "item_id")
+    full = cut(cand).join(docs, "doc_id").join(items.select("item_id", F.col("text").alias("passage")).where("text is not null"), "item_id")
     return full.select("doc_id", "item_id", "need", "seeds", "text", "passage").mapInPandas(verify, f"doc_id {kind}, item_id {own_kind}, run int, item_len int, score double").groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.max("item_len").alias("item_len"), F.max("score").alias("score"))
 
 
