@@ -174,17 +174,28 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5, align: boo
     own_kind = items.schema["item_id"].dataType.simpleString()
 
     def verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[str, tuple[str, np.ndarray]] = {}
+
+        def points(t: str) -> tuple[str, np.ndarray]:
+            if t not in kept:
+                if len(kept) > 4096:
+                    kept.clear()
+                kept[t] = (plain(t), code_points([plain(t)])[0])
+            return kept[t]
+
         for p in it:
             rows = []
             for doc, item, need, seeds_, text, passage in zip(p["doc_id"], p["item_id"], p["need"], p["seeds"], p["text"], p["passage"]):
-                a, b = plain(passage), plain(text)
-                x, y = code_points([a])[0], code_points([b])[0]
+                (a, x), (b, y) = points(passage), points(text)
                 best, best_at = 0, 0
                 done: dict[int, int] = {}
-                for s in sorted(seeds_, key=lambda s: s["pos"]):
-                    i, j = s["pos"], s["at"]
+                half = need // 2  # of a run through a seed that is long enough, one side is at least this long
+                for i, j in sorted((s["pos"], s["at"]) for s in seeds_):
                     if done.get(j - i, -1) > i:
                         continue
+                    ahead = len(a) - i >= half and a[i : i + half] == b[j : j + half]
+                    if not ahead and not (i >= half and j >= half and a[i - half : i] == b[j - half : j]):
+                        continue
                     m = min(len(x) - i, len(y) - j)
                     d = np.flatnonzero(x[i : i + m] != y[j : j + m])
                     end = int(d[0]) if len(d) else m
