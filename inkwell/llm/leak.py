@@ -46,14 +46,15 @@ def plain(text: str | None) -> str:
 
 
 def _gram_hashes(cps: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n-gram that begins at each code point (n a power of two; doubling)."""
+    """Hash of the n-gram that begins at each code point (n a power of two): a polynomial in an odd factor, by
+    doubling, over mixed code points. Equal hashes only make candidates; texts decide."""
     h = mix64(cps.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    size = 1
+    size, factor = 1, 0x9E3779B97F4A7C15
     with np.errstate(over="ignore"):
         while size < n:
-            h = mix64(h[:-size] * np.uint64(0x9E3779B97F4A7C15) + h[size:]) if len(h) > size else h[:0]
-            size *= 2
-        return h ^ np.uint64(n)
+            h = h[:-size] * np.uint64(factor) + h[size:] if len(h) > size else h[:0]
+            size, factor = size * 2, factor * factor % 2**64
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ np.uint64(n)
 
 
 def _plain_points(texts) -> tuple[np.ndarray, np.ndarray]:
