@@ -198,3 +198,26 @@ def test_broken_lines():
     assert scan._joined(["在漫长的雨季等待迟到的货车，因", "为没有人记得旧规矩。", "- 一"]) == ["在漫长的雨季等待迟到的货车，因为没有人记得旧规矩。", "- 一"]
     assert scan._joined(["黄昏时种下三排柳树，", "节日前夜整理失散的信件。"]) == ["黄昏时种下三排柳树，", "节日前夜整理失散的信件。"]
     assert scan._joined(["the quick brown fox jumps", "over the lazy dog again"]) == ["the quick brown fox jumps over the lazy dog again"]
+
+
+def test_residue_in_context():
+    from inkwell.llm.residue import residue
+
+    for t in (
+        "In the templating syntax the placeholder {{ name }} is replaced by the value, as the manual explains in detail.",
+        "The shell expands ${HOME} to the user's own directory, so the variable need not be quoted in this example.",
+        "Every reader knows the words 404 Not Found, yet few can say what the status code means to the server.",
+        "The guard said Access denied, and the whole company turned back into the long and narrow street again.",
+    ):
+        assert residue(t) == {}, t
+    for t in ("Please enable JS to view this site", "This page can't be found.", "Dear {first name}, welcome", "{% if user %}", "Hello *|FNAME|*", "Access denied", "404 Not Found", "啊啊啊啊啊", "天地天地天地"):
+        assert residue(t), t
+
+
+def test_repeats_name_every_text_that_repeats():
+    from inkwell.llm.residue import FILLER, repeats
+
+    texts = ["啊啊啊啊", "啊啊啊啊啊", "天地天地", "", "天地天地天地", "一二三四五六" * 3, "一二三四五六" * 2, "地天", "天" * 3 + "a" * 9, "春秋冬夏春秋冬夏春秋冬夏"]
+    for t, r in zip(texts, repeats(texts)):
+        assert r or not FILLER.search(t)
+    assert repeats(texts).sum() < len(texts) - 3
