@@ -142,13 +142,13 @@ def test_mix(spark):
     assert sorted(map(tuple, mix.mix(d, t)[0].collect())) == sorted(map(tuple, rows))
 
 
-STUFFED = ["lamp " * 30, "lamp, buy lamp, lamp, cheap lamp, lamp, lamp", "Our kettle is the kettle for kettle lovers! Buy kettle, love kettle, gift kettle!", "http://a.example/x\nhttp://b.example/y\n- www.c.test/z", "lamp-blue-12 desk-xl-9 boots-red-77 lamp-s-5", "Home | Login | lamp Dor | Home | Cart | lamp Dor | Next | Next | Home", "雨靴 价格 雨靴 批发 雨靴 雨靴 直销 雨靴", "水壶专家巴奥水壶水壶! 买水壶到塔温乌水壶，水壶品质水壶!", "desk A11 4.50\nlamp B22 3.20\nboots X8 9.99"]
-PROSE = ["The miller draws the plans of the canal by the river, because the water is rising. See https://a.example/x for more.", "Ce jour-là, 7950 personnes sont venues.\n" * 4, "– Come in, said the keeper of the tower.\n– Not yet, said the potter.\n– Why not?", SENTENCE * 5, "Der Weg soll 511 Schritte lang sein.", "wein\nauf\ndem\nvollen\nMarkt\nwährend\nder langen Regenzeit, und die Gewohnheit blieb.", "THE CHOIR REVISES A SONG KNOWN FOR GENERATIONS DEEP IN THE GROVE."]
+STUFFED = ["lamp " * 30, "lamp, buy lamp, lamp, cheap lamp, lamp, lamp", "Our kettle is the kettle for kettle lovers! Buy kettle, love kettle, gift kettle!", "http://a.example/x\nhttp://b.example/y\n- www.c.test/z", "lamp-blue-12 desk-xl-9 boots-red-77 lamp-s-5", "Home | Login | lamp Dor | Home | Cart | lamp Dor | Next | Next | Home", "雨靴 价格 雨靴 批发 雨靴 雨靴 直销 雨靴", "水壶专家巴奥水壶水壶! 买水壶到塔温乌水壶，水壶品质水壶!", "desk A11 4.50\nlamp B22 3.20\nboots X8 9.99", "shop.jp/a\nkaufen-hier.ru/b/c\nsklep.pl\nlojas.uk/x", "lamp, kettle, desk lamp, boots, cheap chair, sofa, carpet, mirror, shelf"]
+PROSE = ["The miller draws the plans of the canal by the river, because the water is rising. See https://a.example/x for more.", "Ce jour-là, 7950 personnes sont venues.\n" * 4, "– Come in, said the keeper of the tower.\n– Not yet, said the potter.\n– Why not?", SENTENCE * 5, "Der Weg soll 511 Schritte lang sein.", "wein\nauf\ndem\nvollen\nMarkt\nwährend\nder langen Regenzeit, und die Gewohnheit blieb.", "On that day 393 people came.\nOn that day 393 people came.On that day 393 people came.", "THE CHOIR REVISES A SONG KNOWN FOR GENERATIONS DEEP IN THE GROVE."]
 
 
 @pytest.mark.parametrize("text,want", [(t, True) for t in STUFFED] + [(t, False) for t in PROSE])
 def test_stuffed(text, want):
-    usual = {"en": 0.43, "de": 0.44, "fr": 0.48, "zh": 0.25, "und": 0.0}
+    usual = {k: {"function": v} for k, v in {"en": 0.43, "de": 0.44, "fr": 0.48, "zh": 0.25, "und": 0.0}.items()}
     assert (spam.stuffed_share(text, usual) > 0.5) is want
 
 
