@@ -73,3 +73,32 @@ def test_near_pairs_split_a_hot_cell(spark, monkeypatch):
     rows = [(f"k{i:03}", "同一开头的很长一句话放在这里" + chr(0x4E00 + i) + chr(0x4F00 + i)) for i in range(70)]
     got = near.near_pairs(spark.createDataFrame(rows, "key string, text string"), 0.6)
     assert got.count() == got.distinct().count() == 70 * 69 // 2
+
+
+def test_hot_cells_are_split_on_both_sides(spark, monkeypatch):
+    """A third of all texts share their beginning: cells of many records, cut into small blocks, lose no pair."""
+    import random
+
+    from inkwell.llm import near
+
+    random.seed(11)
+    letters = "abcdefghijklmnop"
+    rows = []
+    for i in range(240):
+        t = "".join(random.choice(letters) for _ in range(random.randint(5, 30)))
+        rows.append((f"k{i:03}", "gemeinsamer anfang aller texte " * (i % 3 == 0) + (rows[-1][1][:-2] + "zz" if i % 4 == 1 else t)))
+
+    def brute():
+        g = {k: {t[j : j + 3] for j in range(len(t) - 2)} for k, t in rows}
+        return {(a, b) for a in g for b in g if a < b and g[a] and len(g[a] & g[b]) / len(g[a] | g[b]) >= 0.6 - 1e-12}
+
+    d = spark.createDataFrame(rows, "key string, text string")
+    want = brute()
+    for block in (4096, 8):
+        monkeypatch.setattr(near, "BLOCK", block)
+        assert {tuple(r) for r in near.near_pairs(d).collect()} == want
+    assert len(want) > 100
+    monkeypatch.setattr(near, "LEAST", 1 << 14)
+    monkeypatch.setattr(near, "MOST", 1 << 14)
+    monkeypatch.setattr(near, "PART", 1 << 12)
+    assert {tuple(r) for r in near.near_pairs(d).collect()} == want
