@@ -1,11 +1,12 @@
 """Problem 1: all pairs of records whose sets of values are alike (extended-prefix join).
 
-Two sets r, s with |r & s| / |r | s| >= theta share at least t = ceil(theta/(1+theta) * (|r|+|s|))
-members. Order all members by rarity. Then the first |r|-t+l members of r and the first |s|-t+l of s
-share at least l members, for every l from 1 to t. Joining on combinations of l members instead of
-on one member gives longer prefixes and more keys, but far fewer candidates where members are
-common. For every pair of set sizes the cheapest l is chosen from the exact numbers of keys and
-candidates that each l would make; any choice gives the same result, all candidates are verified.
+Two different sets r, s with |r & s| / |r | s| >= theta share at least t members, t >= ceil(theta * |r|)
+and t >= ceil(theta * |s|). Order all members by rarity; then for every l up to t the first l members
+that they share stand among the first |r| - ceil(theta * |r|) + l of r, and likewise of s. So the first
+shared member alone is a key to join on, and where that member begins too many sets, it is replaced by
+the first two shared members, and these by the first three: each key's prefix is as long as its own
+frequency asks for. Both sides decide by the same counts, so they always meet; any choice gives the
+same result, all candidates are verified.
 """
 
 from __future__ import annotations
@@ -16,12 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.plans.cut import cut
-from inkwell.plans.pairs import expand_class_pairs, salted_self_pairs
+from inkwell.plans.pairs import BLOCK, expand_class_pairs, salted_self_pairs
 
-#: Longest prefix for which combinations of two, of three members are considered.
-PREFIX_FOR = {2: 12, 3: 8}
-#: What a candidate costs against a key: it fetches two sets and compares them.
-CANDIDATE = 4
+#: A key that more sets have is extended by another shared member, up to LONGEST members (parameters of cost; results don't depend on them).
+FREQUENT, LONGEST = 24, 3
 
 
 def normal_set(col: Column) -> Column:
@@ -30,69 +29,71 @@ def normal_set(col: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(trimmed, lambda x: x.isNotNull() & (x != ""))))
 
 
-def _needed(theta: float, a: Column, b: Column) -> Column:
-    return F.ceil(F.lit(theta / (1 + theta)) * (a + b) - 1e-9).cast("int")
+def _extended(keys: DataFrame) -> DataFrame:
+    """keys(id, n, least, l, at, k, t): each key with the next members of the set's longer prefix behind it."""
+    d = keys.withColumn("l", F.col("l") + 1)
+    to = F.least(F.col("n"), F.col("n") - F.col("least") + F.col("l"))
+    d = d.where(F.col("at") < to).withColumn("at", F.explode(F.sequence(F.col("at") + 1, to)))
+    return d.withColumn("k", F.xxhash64("k", F.element_at("t", F.col("at"))))
 
 
-def _keys(of: DataFrame, l: int) -> DataFrame:
-    """One row per l-member combination of the l-prefix of each row's members t."""
-    p = of.withColumn("p", F.least(F.col("n"), F.col("n") - F.col("need") + l)).where(F.col("p") >= l)
-    at = lambda c: F.element_at("t", F.col(c))
-    p = p.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("p") - (l - 1))))
-    if l > 1:
-        p = p.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("p") - (l - 2))))
-    if l > 2:
-        p = p.withColumn("h", F.explode(F.sequence(F.col("j") + 1, F.col("p"))))
-    k = F.xxhash64(*[at(c) for c in "ijh"[:l]])
-    return p.select("class", "n", "u", "v", k.alias("k"))
+def _keys(sets: DataFrame) -> DataFrame:
+    """(id, n, k, c): the keys of sets(id, n, least, z, t), each with the number of sets that have it.
+
+    t is in order of rarity; its first z members are in no other set and make no key.
+    """
+    to = F.col("n") - F.col("least") + 1
+    open_ = sets.where(F.col("z") < to).withColumn("l", F.lit(1)).withColumn("at", F.explode(F.sequence(F.col("z") + 1, to))).withColumn("k", F.element_at("t", F.col("at")))
+    open_ = open_.select("id", "n", "least", "l", "at", "k", "t")
+    done = []
+    for l in range(1, LONGEST + 1):
+        counts = open_.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
+        d = open_.join(counts, "k")
+        if l == LONGEST:
+            done.append(d.select("id", "n", "k", "c"))
+            break
+        d = cut(d)
+        # A set of which some like one shares fewer than l + 1 members keeps its key beside the longer ones.
+        done.append(d.where((F.col("c") <= FREQUENT) | (F.col("least") <= l)).select("id", "n", "k", "c"))
+        open_ = _extended(d.where(F.col("c") > FREQUENT).drop("c"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _candidates(keys: DataFrame, theta: float) -> DataFrame:
+    """(a, b): ids that share a key and whose sizes allow theta. A key of more than BLOCK sets is cut into blocks
+    that meet two by two, so that a join key holds at most BLOCK rows of either side."""
+    d = keys.withColumn("s", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("x", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("s") - 1))
+    left = d.select("k", F.col("id").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa"), other.alias("xb"))
+    right = d.select("k", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb"), other.alias("xa"))
+    fits = (F.least("na", "nb") >= theta * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
+    return left.join(right, ["k", "xa", "xb"]).where(fits).select("a", "b").distinct()
 
 
 def similar_classes(records: DataFrame, theta: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of records(key string, items array<string>).
 
-    members: (class, key), one class per distinct non-empty set. pairs: (a, b), classes of different
-    sets with Jaccard similarity >= theta, a < b, each once. Null keys, null and empty sets take no
-    part; repeated rows count once. A class with many keys stays one row in the join.
+    members: (class, key), one class per distinct non-empty set, named by the set's 128-bit digest. pairs:
+    (a, b), classes of different sets with Jaccard similarity >= theta, each once. Null keys, null and
+    empty sets take no part; repeated rows count once. A class with many keys stays one row in the join.
     """
     rec = records.where(F.col("key").isNotNull() & (F.size("items") > 0)).select("key", F.array_sort(F.array_distinct("items")).alias("items"))
-    rec = rec.withColumn("class", F.xxhash64("items", F.size("items")))
-    members = cut(rec.select("class", "key", "items")).select("class", "key", "items")
-    sets = members.groupBy("class").agg(F.first("items").alias("items"))
-    members = members.select("class", "key").distinct()
-    df = sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("df"))
-    ordered = cut(
-        sets.select("class", F.explode("items").alias("item")).join(df, "item")
-        .groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "item"))), lambda x: F.xxhash64(x["item"])).alias("t"))
-        .withColumn("n", F.size("t"))
-    )
-    sizes = ordered.select(F.col("n").alias("m")).distinct()
-    lo, hi = F.ceil(F.col("n") * theta - 1e-9), F.floor(F.col("n") / theta + 1e-9)
-    # The sizes that occur are few; a record meets only those that can be alike.
-    spread = ordered.join(F.broadcast(sizes), F.col("m").between(lo, hi), "inner").withColumn("need", _needed(theta, F.col("n"), F.col("m")))
-    spread = spread.withColumn("u", F.least("n", "m")).withColumn("v", F.greatest("n", "m"))
-
-    # A longer prefix is tried for the pairs of sizes in which the shorter one makes more candidates
-    # than keys; it is chosen where it costs less.
-    choice = None
-    open_ = spread
-    for l in (1, 2, 3):
-        counted = _keys(open_, l).groupBy("u", "v", "k").agg(F.count_if(F.col("n") == F.col("u")).alias("x"), F.count_if(F.col("n") == F.col("v")).alias("y"))
-        made = counted.groupBy("u", "v").agg(F.sum(F.col("x") + F.col("y")).alias("keys"), F.sum(F.col("x") * F.col("y")).alias("pairs"))
-        made = made.select("u", "v", F.lit(l).alias("l"), (F.col("keys") + CANDIDATE * F.col("pairs")).alias("cost"), (F.col("pairs") > F.col("keys")).alias("more"))
-        choice = cut(made if choice is None else choice.unionByName(made))
-        if l < 3:
-            more = choice.where((F.col("l") == l) & F.col("more")).select("u", "v")
-            open_ = spread.join(F.broadcast(more), ["u", "v"]).where((F.col("need") > l) & (F.col("v") - F.col("need") + l + 1 <= PREFIX_FOR[l + 1]))
-    best = F.broadcast(choice.groupBy("u", "v").agg(F.min_by("l", F.struct("cost", "l")).alias("l")))
-    chosen = reduce(DataFrame.unionByName, [_keys(spread.join(best.where(F.col("l") == l), ["u", "v"]), l) for l in (1, 2, 3)])
-    left = chosen.where("n = u").select("u", "v", "k", F.col("class").alias("a"))
-    right = chosen.where("n = v").select("u", "v", "k", F.col("class").alias("b"))
-    cand = left.join(right, ["u", "v", "k"]).where((F.col("u") < F.col("v")) | (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    own = ordered.select("class", "t")
-    checked = cand.join(own.select(F.col("class").alias("a"), F.col("t").alias("ta")), "a").join(own.select(F.col("class").alias("b"), F.col("t").alias("tb")), "b")
+    rec = cut(rec.withColumn("class", F.unhex(F.md5(F.to_json("items")))))
+    members = rec.select("class", "key").distinct()
+    each = rec.groupBy("class").agg(F.first("items").alias("items")).select(F.monotonically_increasing_id().alias("id"), "class", F.explode("items").alias("item"))
+    each = cut(each)
+    df = each.groupBy("item").agg(F.count("*").alias("df"))
+    sets = cut(
+        each.join(df, "item").groupBy("id").agg(F.first("class").alias("class"), F.array_sort(F.collect_list(F.struct("df", F.xxhash64("item").alias("h")))).alias("m"))
+        .select("id", "class", F.transform("m", lambda x: x["h"]).alias("t"), F.size("m").alias("n"), F.size(F.filter("m", lambda x: x["df"] == 1)).alias("z"))
+        .withColumn("least", F.ceil(F.col("n") * theta - 1e-9).cast("int"))
+    )
+    cand = _candidates(_keys(sets), theta)
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("class").alias(f"c{k}"), F.col("t").alias(f"t{k}"))
+    checked = cand.join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("ta", "tb"))
     alike = both >= theta * (F.size("ta") + F.size("tb") - both) - 1e-9
-    return cut(checked.where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), members
+    return cut(checked.where(alike).select(F.col("ca").alias("a"), F.col("cb").alias("b"))), members
 
 
 def similar_pairs(records: DataFrame, theta: float = 0.6) -> DataFrame:
