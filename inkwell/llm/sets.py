@@ -80,8 +80,9 @@ def similar_classes(records: DataFrame, theta: float = 0.6) -> tuple[DataFrame,
     rec = records.where(F.col("key").isNotNull() & (F.size("items") > 0)).select("key", F.array_sort(F.array_distinct("items")).alias("items"))
     rec = cut(rec.withColumn("class", F.unhex(F.md5(F.to_json("items")))))
     members = rec.select("class", "key").distinct()
-    each = rec.groupBy("class").agg(F.first("items").alias("items")).select(F.monotonically_increasing_id().alias("id"), "class", F.explode("items").alias("item"))
-    each = cut(each)
+    # Numbered before the explode: in one select with it, each member would get a number of its own.
+    own = rec.groupBy("class").agg(F.first("items").alias("items")).withColumn("id", F.monotonically_increasing_id())
+    each = cut(own.select("id", "class", F.explode("items").alias("item")))
     df = each.groupBy("item").agg(F.count("*").alias("df"))
     sets = cut(
         each.join(df, "item").groupBy("id").agg(F.first("class").alias("class"), F.array_sort(F.collect_list(F.struct("df", F.xxhash64("item").alias("h")))).alias("m"))
