@@ -108,8 +108,8 @@ def _tables():
     return first, length, start, np.array(flat, np.uint32), ccc, keys, np.array([compose[k] for k in keys.tolist()], np.uint32)
 
 
-def canonical(texts) -> list[str]:
-    """The texts in one consistent form; None becomes the empty text. Idempotent."""
+def canonical_points(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Code points and offsets of the texts in one consistent form; None becomes the empty text. Idempotent."""
     first, length, start, flat, ccc, keys, values = _tables()
     cps, offsets = code_points(texts)
     high = len(cps) and int(cps.max()) >= _END  # beyond the planes that have mappings
@@ -118,18 +118,19 @@ def canonical(texts) -> list[str]:
     if high:
         n[cps >= _END], out[cps >= _END] = 1, cps[cps >= _END]
         n[(cps >= 0xE0000) & (cps < 0xE1000)] = 0  # tags and variation selectors
-    if n.size and (n.min() == 0 or n.max() > 1):
-        total = np.zeros(len(n) + 1, np.int64)
-        np.cumsum(n, out=total[1:])
-        offsets = total[offsets]
-        kept = n > 0
-        many = np.flatnonzero(n > 1)
-        out = out[kept]
+    odd = np.flatnonzero(n != 1)
+    if len(odd):
+        total = np.zeros(len(odd) + 1, np.int64)
+        np.cumsum(n[odd].astype(np.int64) - 1, out=total[1:])
+        offsets = offsets + total[np.searchsorted(odd, offsets)]
+        gone, many = odd[n[odd] == 0], odd[n[odd] > 1]
+        if len(gone):
+            out = np.delete(out, gone)
         if len(many):  # the further code points of an expansion go behind its first
             more = n[many].astype(np.int64) - 1
             ahead = np.cumsum(more) - more
             src = np.repeat(start[own[many]].astype(np.int64) + 1 - ahead, more) + np.arange(more.sum())
-            place = np.repeat(np.cumsum(kept)[many], more)
+            place = np.repeat(many + 1 - np.searchsorted(gone, many), more)
             out = np.insert(out, place, flat[src])
     cc = ccc[np.minimum(out, _END - 1)] if high else ccc[out]
     marks = np.flatnonzero(cc)
@@ -144,7 +145,7 @@ def canonical(texts) -> list[str]:
         base = begin[run - 1] - 1
         fits = base >= np.r_[0, offsets][text]  # a mark at the head of a text has no base
         left = np.zeros(len(begin), np.uint8)  # class of the last mark of the run that stays
-        gone = np.zeros(len(out), bool)
+        lost = [np.zeros(0, np.int64)]
         for r in range(int(rank.max()) + 1):
             at = np.flatnonzero((rank == r) & fits)
             m, b, g = marks[at], base[at], run[at] - 1
@@ -152,14 +153,19 @@ def canonical(texts) -> list[str]:
             pos = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             ok = (keys[pos] == key) & (left[g] < cc[m])
             out[b[ok]] = values[pos[ok]]
-            gone[m[ok]] = True
+            lost.append(m[ok])
             left[g[~ok]] = cc[m[~ok]]
             if r > 64 and not ok.any():
                 break  # no base takes a further mark
-        kept = ~gone
-        offsets = np.r_[0, np.cumsum(kept)][offsets]
-        out = out[kept]
-    return strings(out, offsets)
+        gone = np.sort(np.concatenate(lost))
+        offsets = offsets - np.searchsorted(gone, offsets)
+        out = np.delete(out, gone)
+    return out, offsets
+
+
+def canonical(texts) -> list[str]:
+    """The texts in one consistent form; None becomes the empty text. Idempotent."""
+    return strings(*canonical_points(texts))
 
 
 @F.pandas_udf(T.StringType())

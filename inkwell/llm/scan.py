@@ -22,11 +22,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.arrays import code_points, mix64
-from inkwell.llm.lookalike import canonical
+from inkwell.llm.arrays import code_points, mix64, strings
+from inkwell.llm.lookalike import canonical, canonical_points
 from inkwell.plans.cut import cut
 
 BUCKETS = 1 << 21
@@ -40,6 +41,11 @@ CONFUSED = (
 SPLIT = {"的": "白勺", "明": "日月", "好": "女子", "林": "木木", "村": "木寸", "他": "亻也", "你": "亻尔", "树": "木对", "时": "日寸", "朋": "月月", "加": "力口", "和": "禾口", "如": "女口", "知": "矢口", "吗": "口马", "呢": "口尼", "胡": "古月", "功": "工力", "阳": "阝日", "她": "女也", "妈": "女马", "以": "丨人", "引": "弓丨", "北": "丬匕", "化": "亻七", "休": "亻木", "课": "讠果", "话": "讠舌", "说": "讠兑", "语": "讠吾"}
 #: Latin letters that scanners confuse (fixed values): read, true.
 LATIN = [("c", "e"), ("0", "o"), ("í", "i"), ("1", "l"), ("5", "s"), ("li", "h"), ("cl", "d"), ("9", "g"), ("rn", "m"), ("vv", "w"), ("ii", "u"), ("6", "b"), ("8", "B"), ("1", "i"), ("nn", "m"), ("tl", "d"), ("q", "g")]
+#: What any reading but a word's own begins with, and the readings by their first letter.
+DOUBTFUL = re.compile("|".join(sorted({read for read, _ in LATIN})))
+READINGS: dict[str, list[tuple[str, str]]] = {}
+for _read, _true in LATIN:
+    READINGS.setdefault(_read[0], []).append((_read, _true))
 #: Parameters: how often a reading must stand against its correction to count as its own, and how often the correction must occur at least.
 RATIO, LEAST = 0.1, 6
 SIDE_RATIO, SIDE_LEAST = 0.03, 40
@@ -51,6 +57,7 @@ WRAPPED_WORD = re.compile(r"(?<=[^\W\d_])[-¬]\n(?=[a-zà-ɏ])")
 HYPHENED = re.compile(r"(?<![^\W\d_])([^\W\d_]+)-(?=([^\W\d_]+))")
 LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏ0-9]*[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ0-9]*")
 DIGIT_INSIDE = re.compile(r"(?:[a-zà-ɏ]|^)[a-zà-ɏ]*[a-zà-ɏ][01569][a-zà-ɏ]|^[01569][a-zà-ɏ]{3,}|[a-zà-ɏ]{3,}[01569]$")
+LETTER, DIGIT = re.compile(r"[^\W\d_]"), re.compile(r"\d")
 IDEOGRAPH = re.compile(r"[㐀-鿿]")
 #: What may stand around a page number: signs, and the zero that is drawn as a ring (a word character for re).
 _DRESS = r"[\W_〇○◯]*"
@@ -87,7 +94,7 @@ def _hash3(kind: int, a, b, c):
     """Bucket of a context of three code points; kind keeps left, middle and right contexts apart."""
     x = (np.asarray(a, np.uint64) << np.uint64(42)) ^ (np.asarray(b, np.uint64) << np.uint64(21)) ^ np.asarray(c, np.uint64)
     with np.errstate(over="ignore"):
-        return (mix64(x ^ np.uint64(kind << 60)) % np.uint64(BUCKETS)).astype(np.int64)
+        return (mix64(x ^ np.uint64(kind << 60)) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def _word_buckets(word: str) -> tuple[int, int]:
@@ -98,30 +105,87 @@ def _word_buckets(word: str) -> tuple[int, int]:
 
 #: Code points that stand for the halves of a split character in contexts.
 _PRIVATE = {v: 0xE000 + i for i, v in enumerate(SPLIT.values())}
-_BREAK = re.compile(r"(?<=[㐀-鿿,。、;:])\n(?=[㐀-鿿])")
 
 
-def _flow(text: str) -> str:
-    """Text in one form, with wrapped Chinese lines joined and split characters as one private sign."""
-    text = _BREAK.sub("", text)
-    for read, sign in _PRIVATE.items():
-        if read in text:
-            text = text.replace(read, chr(sign))
-    return text
-
-
-def _contexts(texts: list[str], only_doubtful: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions of confusable signs, code points, kind-wise buckets [3, n]) over padded texts."""
-    cps, _ = code_points(["\n\n" + t + "\n\n" for t in texts])
-    cps = cps.astype(np.int64)
+@lru_cache(None)
+def _classes() -> tuple[np.ndarray, ...]:
+    """Over 16-bit code points (the last stands for all beyond): letters, what LATIN_WORD consists of, what stands
+    before and behind a wrapped line's end, the first and second signs of split characters."""
+    letter, latin, before, behind, first, second = (np.zeros(0x10000, bool) for _ in range(6))
+    letter[[c for c in range(0xFFFF) if LETTER.match(chr(c))]] = True
+    letter[0xFFFF] = True  # others may be letters
+    latin[[c for c in range(0x250) if 0xC0 <= c or chr(c).isascii() and chr(c).isalnum()]] = True
+    behind[0x3400:0xA000] = True
+    before |= behind
+    before[[ord(c) for c in ",。、;:"]] = True
+    first[[ord(v[0]) for v in _PRIVATE]] = True
+    second[[ord(v[1]) for v in _PRIVATE]] = True
+    return letter, latin, before, behind, first, second
+
+
+def _padded(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of the texts, each between two line breaks on either side; where each of these begins)."""
+    starts = offsets[:-1] + 4 * np.arange(len(offsets) - 1)
+    out = np.full(len(cps) + 4 * len(starts), 10, np.uint32)
+    inside = np.ones(len(out), bool)
+    for k in range(2):
+        inside[starts + k] = inside[starts + np.diff(offsets) + 2 + k] = False
+    out[inside] = cps
+    return out, starts
+
+
+def _flow(cps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Padded texts with wrapped Chinese lines joined and split characters as one private sign."""
+    _, _, before, behind, first, second = _classes()
+    low = np.minimum(cps, 0xFFFF).astype(np.uint16)
+    at = np.flatnonzero(low == 10)[1:-1]
+    at = at[before[low[at - 1]] & behind[low[at + 1]]]
+    if len(at):
+        cps, low, starts = np.delete(cps, at), np.delete(low, at), starts - np.searchsorted(at, starts)
+    at = np.flatnonzero(first[low])
+    at = at[second[low[at + 1]]]
+    order = {v: i for i, v in enumerate(_PRIVATE)}
+    found = sorted((order[v], i, v) for i, v in zip(at.tolist(), map("".join, zip(map(chr, low[at].tolist()), map(chr, low[at + 1].tolist())))) if v in order)
+    taken: set[int] = set()  # as if each were replaced in turn
+    gone = []
+    if found:
+        cps = cps.copy()
+    for _, i, v in found:
+        if i not in taken and i + 1 not in taken:
+            taken |= {i, i + 1}
+            gone.append(i + 1)
+            cps[i] = _PRIVATE[v]
+    if gone:
+        gone = np.sort(np.array(gone, np.int64))
+        cps, starts = np.delete(cps, gone), starts - np.searchsorted(gone, starts)
+    return cps, starts
+
+
+def _contexts(cps: np.ndarray, only_doubtful: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of confusable signs, kind-wise buckets [3, n]) over padded texts."""
     _, known, doubtful = _confusions()
     at = np.flatnonzero((doubtful if only_doubtful else known)[np.minimum(cps, 0xFFFF)])
-    x = cps[at]
-    return at, cps, np.stack([_hash3(1, cps[at - 2], cps[at - 1], x), _hash3(2, cps[at - 1], x, cps[at + 1]), _hash3(3, x, cps[at + 1], cps[at + 2])]) if len(at) else np.empty((3, 0), np.int64)
+    a, b, x, c, d = (cps[at + k] for k in range(-2, 3))
+    return at, np.stack([_hash3(1, a, b, x), _hash3(2, b, x, c), _hash3(3, x, c, d)])
+
+
+def _latin_words(cps: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """(runs of what LATIN_WORD consists of, also those of digits alone, over padded texts; where each begins)."""
+    latin = _classes()[1]
+    inside = latin[np.minimum(cps, 0xFFFF)]
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return [], at
+    new = np.r_[True, np.diff(at) > 1]
+    # One space before each run but the first.
+    x = np.insert(cps[at], np.flatnonzero(new)[1:], 32)
+    return x.astype(np.uint32).tobytes().decode("utf-32-le").split(" "), at[new]
 
 
 def _add_words(total: np.ndarray, words: Counter) -> None:
     for w, n in words.items():
+        if w.isdigit():
+            continue
         for b in set(_word_buckets(w)):
             total[b] += n
     words.clear()
@@ -135,25 +199,27 @@ def _hyphened(a: str, b: str) -> list[str]:
 def corpus_counts(records: DataFrame) -> np.ndarray:
     """BUCKETS counts of contexts and words over all records(…, text)."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         words: Counter = Counter()
+        letter = _classes()[0]
         for p in it:
-            texts = canonical(p["text"])
-            _, _, b = _contexts([_flow(t) for t in texts])
-            total += np.bincount(b.ravel(), minlength=BUCKETS)
-            for t in texts:
-                words.update(LATIN_WORD.findall(t))
-                if "-" in t:
-                    for a, b in HYPHENED.findall(t):
-                        words.update(_hyphened(a, b))
+            cps, offsets = canonical_points(p.column(0).to_pylist())
+            padded, starts = _padded(cps, offsets)
+            words.update(_latin_words(padded)[0])
+            marks = np.flatnonzero(padded == 45)
+            marks = marks[letter[np.minimum(padded[marks - 1], 0xFFFF)] & letter[np.minimum(padded[marks + 1], 0xFFFF)]]
+            for i in np.unique(np.searchsorted(starts, marks, "right") - 1).tolist():
+                for a, b in HYPHENED.findall(strings(cps[offsets[i] : offsets[i + 1]], offsets[i : i + 2] - offsets[i])[0]):
+                    words.update(_hyphened(a, b))
+            total += np.bincount(_contexts(_flow(padded, starts)[0])[1].ravel(), minlength=BUCKETS)
             if len(words) > 200_000:
                 _add_words(total, words)
         _add_words(total, words)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"b": at, "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["b", "n"])
 
-    rows = records.select("text").where("text is not null").mapInPandas(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
+    rows = records.select("text").where("text is not null").mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
     out = np.zeros(BUCKETS, np.int64)
     out[rows["b"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return np.minimum(out, 2**31 - 1).astype(np.int32)
@@ -167,23 +233,23 @@ def _candidates(x: int) -> list[int]:
     return own
 
 
-def _misread_signs(texts: list[str], counts: np.ndarray) -> list[dict[int, int]]:
-    """Per text in flow form: position -> decoded code point, of the signs the channel corrects."""
-    out: list[dict[int, int]] = [{} for _ in texts]
-    at, cps, buckets = _contexts(texts, only_doubtful=True)
+def _misread(cps: np.ndarray, counts: np.ndarray) -> dict[int, int]:
+    """Over padded texts in flow form: position -> decoded code point, of the signs the channel corrects."""
+    out: dict[int, int] = {}
+    at, buckets = _contexts(cps, only_doubtful=True)
     if not len(at):
         return out
     seen = counts[buckets]
     # All alternatives of all positions at once; few survive.
     signs, which = np.unique(cps[at], return_inverse=True)
     table = [_candidates(int(x)) for x in signs]
-    starts = np.cumsum([0] + [len(t) + 4 for t in texts])
     better: dict[int, list[tuple[float, int]]] = {}
     for k in range(max(map(len, table))):
         c = np.array([t[k] if len(t) > k else 0 for t in table], np.int64)[which]
         ok = c > 0
         i, c = at[ok], c[ok]
-        alt = counts[np.stack([_hash3(1, cps[i - 2], cps[i - 1], c), _hash3(2, cps[i - 1], c, cps[i + 1]), _hash3(3, c, cps[i + 1], cps[i + 2])])]
+        left, right = cps[i - 1], cps[i + 1]
+        alt = counts[np.stack([_hash3(1, cps[i - 2], left, c), _hash3(2, left, c, right), _hash3(3, c, right, cps[i + 2])])]
         own = seen[:, ok]
         middle = (alt[1] >= LEAST) & (own[1] <= RATIO * alt[1])
         side = ((alt[[0, 2]] >= SIDE_LEAST) & (own[[0, 2]] <= SIDE_RATIO * alt[[0, 2]])).any(0)
@@ -192,18 +258,24 @@ def _misread_signs(texts: list[str], counts: np.ndarray) -> list[dict[int, int]]
             score = float(np.log((alt[:, j] + 0.5) / (own[:, j] + 0.5)).sum())
             better.setdefault(int(i[j]), []).append((score, int(c[j])))
     # Viterbi over neighbouring suspicious signs: the choice at one changes the context of the next.
-    order = sorted(better)
     groups: list[list[int]] = []
-    for p in order:
+    for p in sorted(better):
         if groups and p - groups[-1][-1] <= 2:
             groups[-1].append(p)
         else:
             groups.append([p])
     for g in groups:
-        chosen = _viterbi(g, cps, better, counts)
-        t = int(np.searchsorted(starts, g[0], "right")) - 1
-        for p, c in chosen.items():
-            out[t][p - int(starts[t]) - 2] = c
+        out |= _viterbi(g, cps, better, counts)
+    return out
+
+
+def _misread_signs(texts: list[str], counts: np.ndarray) -> list[dict[int, int]]:
+    """Per text in flow form: position -> decoded code point, of the signs the channel corrects."""
+    out: list[dict[int, int]] = [{} for _ in texts]
+    cps, starts = _padded(*code_points(texts))
+    for p, c in _misread(cps, counts).items():
+        t = int(np.searchsorted(starts, p, "right")) - 1
+        out[t][p - int(starts[t]) - 2] = c
     return out
 
 
@@ -252,13 +324,15 @@ class Words:
 
     def wrong(self, words: set[str]) -> dict[str, str]:
         """word -> decoded word, for those that the channel explains as another."""
-        for w in words - self.good - self.bad.keys():
-            better = self._correct(w)
+        out = {}
+        for w in words:
+            if w in self.good:
+                continue
+            better = self.bad.get(w) or self._correct(w)
             if better:
-                self.bad[w] = better
+                out[w] = self.bad[w] = better
             else:
                 self.good.add(w)
-        out = {w: self.bad[w] for w in words & self.bad.keys()}
         if len(self.good) + len(self.bad) > 500_000:
             self.good, self.bad = set(), {}
         return out
@@ -266,37 +340,46 @@ class Words:
     def _correct(self, word: str) -> str | None:
         if len(word) < 3 or word.isdigit() or word.isupper() and any(c.isdigit() for c in word):
             return None
-        own = self.n(word)
+        if DOUBTFUL.search(word):
+            best = self._decoded(word)
+            if best:
+                return best
+        if DIGIT_INSIDE.search(word) and any(c.islower() for c in word):
+            return "".join({"0": "o", "1": "l", "5": "s", "9": "g", "6": "b"}.get(c, c) for c in word)
+        return None
+
+
+    def _decoded(self, word: str) -> str | None:
+        """The usual word that takes fewest changes, if the word itself is not usual beside it."""
         beam = {0: [("", 0)]}
-        low = word
-        for i in range(len(low)):  # Viterbi over the readings of each place; at most three changes a word
+        for i, c in enumerate(word):  # Viterbi over the readings of each place; at most three changes a word
+            here = [(len(read), true) for read, true in READINGS.get(c, ()) if word.startswith(read, i)]
             for built, changes in beam.pop(i, []):
-                beam.setdefault(i + 1, []).append((built + low[i], changes))
+                beam.setdefault(i + 1, []).append((built + c, changes))
                 if changes < 3:
-                    for read, true in LATIN:
-                        if low.startswith(read, i):
-                            beam.setdefault(i + len(read), []).append((built + true, changes + 1))
+                    for n, true in here:
+                        beam.setdefault(i + n, []).append((built + true, changes + 1))
             if len(beam.get(i + 1, ())) > 64:
                 beam[i + 1] = sorted(beam[i + 1], key=lambda b: b[1])[:64]
-        best = None
-        for built, changes in beam.get(len(low), []):
+        own, best = None, None
+        for built, changes in beam.get(len(word), []):
             if changes and len(built) >= 3:
                 n = self.n(built)
-                if n >= WORD_LEAST and own <= WORD_RATIO * n and (best is None or (changes, -n) < best[0]):
-                    best = ((changes, -n), built)
-        if best:
-            return best[1]
-        if DIGIT_INSIDE.search(word) and any(c.islower() for c in word):
-            return "".join({"0": "o", "1": "l", "5": "s", "9": "g", "6": "b"}.get(c, c) for c in word)
-        return None
+                if n >= WORD_LEAST:
+                    own = self.n(word) if own is None else own
+                    if own <= WORD_RATIO * n and (best is None or (changes, -n) < best[0]):
+                        best = ((changes, -n), built)
+        return best and best[1]
 
 
 def _letters(line: str) -> str:
-    return "".join(c for c in line.lower() if c.isalpha())
+    return "".join(filter(str.isalpha, line.lower()))
 
 
 def title_parts(line: str, page: int | None) -> tuple[str, bool]:
     """(letters of the line, empty for a bare page number; whether the page's number is in it)."""
+    if not DIGIT.search(line):
+        return _letters(line), False
     if m := NUMBER_LINE.match(line):
         return "", int(m.group(1)) == page
     m = NUMBER_BESIDE.search(line)
@@ -321,38 +404,75 @@ def scan_lines(records: DataFrame, counts: np.ndarray) -> DataFrame:
     a running title or a page number: array of (sig, number).
     """
     known = records.sparkSession.sparkContext.broadcast(counts)
+    line = pa.struct([("sig", pa.string()), ("number", pa.bool_())])
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(known.value)
         for p in it:
-            texts = canonical(p["text"])
-            signs = _misread_signs([_flow(t) for t in texts], known.value)
-            rows = []
-            for name, key, doc, page, raw, inside, text, sign in zip(p["name"], p["key"], p["doc"], p["page"], p["text"], p["inside"], texts, signs):
-                page = None if page is None or page != page else int(page)
-                hyphen = bool(MARKED_END.search(raw)) and any(is_split_word(m[1], m[2], words) for m in SPLIT_WORD.finditer(raw))
-                misread = bool(sign)
-                flat = [l.strip() for l in text.split("\n") if l.strip()]
-                edge = range(len(flat)) if inside else sorted({*range(min(EDGE_LINES, len(flat))), *range(max(0, len(flat) - EDGE_LINES), len(flat))})
-                lines = []
-                for i in edge:
-                    line = flat[i]
-                    if len(line) <= LONGEST_TITLE:
-                        if NUMBER_LINE.match(line):
-                            sig, number = title_parts(line, page)
-                            if number:
-                                lines.append(("", True))
-                        elif not SENTENCE_END.search(line) and not LIST_ITEM.match(line):
-                            sig, number = title_parts(line, page)
-                            if len(sig) >= 3:
-                                lines.append((sig, number))
-                if not misread:
-                    plain = WRAPPED_WORD.sub("", text) if "-\n" in text or "¬\n" in text else text
-                    misread = bool(words.wrong(set(LATIN_WORD.findall(plain))))
-                rows.append((name, key, doc, page, hyphen, misread, lines))
-            yield pd.DataFrame(rows, columns=["name", "key", "doc", "page", "hyphen", "misread", "lines"])
-
-    return records.mapInPandas(run, "name string, key string, doc string, page int, hyphen boolean, misread boolean, lines array<struct<sig:string,number:boolean>>")
+            raw = p.column("text").to_pylist()
+            cps, offsets = canonical_points(raw)
+            texts = strings(cps, offsets)
+            padded, starts = _padded(cps, offsets)
+            misread = _misread_texts(texts, padded, starts, words)
+            hyphen = [bool(MARKED_END.search(t)) and any(is_split_word(m[1], m[2], words) for m in SPLIT_WORD.finditer(t)) for t in raw]
+            lines = [edge_lines(t, n, i) for t, n, i in zip(texts, p.column("page").to_pylist(), p.column("inside").to_pylist())]
+            ends = np.cumsum([0, *map(len, lines)])
+            each = pa.StructArray.from_arrays([pa.array([l[k] for own in lines for l in own], t.type) for k, t in enumerate(line)], fields=list(line))
+            columns = [p.column(c) for c in ("name", "key", "doc", "page")] + [pa.array(hyphen, pa.bool_()), pa.array(misread), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "key", "doc", "page", "hyphen", "misread", "lines"])
+
+    return records.mapInArrow(run, "name string, key string, doc string, page int, hyphen boolean, misread boolean, lines array<struct<sig:string,number:boolean>>")
+
+
+def _misread_texts(texts: list[str], padded: np.ndarray, starts: np.ndarray, words: Words) -> np.ndarray:
+    """Whether each text has signs or words that the channel corrects; padded holds the texts' code points."""
+    out = np.zeros(len(texts), bool)
+    flow, begin = _flow(padded, starts)
+    out[np.searchsorted(begin, sorted(_misread(flow, words.counts)), "right") - 1] = True
+    wrapped = np.flatnonzero(((padded == 45) | (padded == 0xAC))[:-1] & (padded[1:] == 10))
+    wrapped = np.unique(np.searchsorted(starts, wrapped, "right") - 1)
+    own, at = _latin_words(padded)
+    wrong = words.wrong({w for w in set(own) if not w.isdigit()})
+    bad = np.searchsorted(starts, at[[w in wrong for w in own]], "right") - 1 if wrong else np.zeros(0, np.int64)
+    out[np.setdiff1d(bad, wrapped)] = True
+    for i in wrapped.tolist():  # words that go over a line's end count as joined
+        out[i] = out[i] or bool(words.wrong(set(LATIN_WORD.findall(WRAPPED_WORD.sub("", texts[i])))))
+    return out
+
+
+def edge_lines(text: str, page: int | None, inside: bool) -> list[tuple[str, bool]]:
+    """(sig, number) of the lines of a text in one form that may be a running title or hold the page's number."""
+    flat = text.split("\n")
+    if inside:
+        flat = [l for x in flat if (l := x.strip())]
+    elif len(flat) > 2 * EDGE_LINES:
+        head: list[str] = []
+        n = 0
+        for n, x in enumerate(flat, 1):
+            if l := x.strip():
+                head.append(l)
+                if len(head) == EDGE_LINES:
+                    break
+        tail: list[str] = []
+        for x in reversed(flat[n:]):
+            if l := x.strip():
+                tail.append(l)
+                if len(tail) == EDGE_LINES:
+                    break
+        flat = head + tail[::-1]
+    else:
+        flat = [l for x in flat if (l := x.strip())]
+    out = []
+    for line in flat:
+        if len(line) <= LONGEST_TITLE:
+            if DIGIT.search(line) and NUMBER_LINE.match(line):
+                if title_parts(line, page)[1]:
+                    out.append(("", True))
+            elif not SENTENCE_END.search(line) and not LIST_ITEM.match(line):
+                sig, number = title_parts(line, page)
+                if len(sig) >= 3:
+                    out.append((sig, number))
+    return out
 
 
 def _form(title):
@@ -391,7 +511,9 @@ def scan_noise(records: DataFrame) -> DataFrame:
     titles = cut(running_titles(lines.where("doc is not null")))
     each = lines.select("name", "key", "doc", F.explode("lines").alias("l"))
     found = each.where("length(l.sig) >= 4").join(titles, "doc")
-    found = found.where(F.levenshtein(F.col("l.sig"), F.col("title")) <= F.least(F.lit(TITLE_EDITS), F.length("title") / 4))
+    # Equal ones and lengths first: a large document has many lines and titles.
+    most = F.least(F.lit(TITLE_EDITS), F.floor(F.length("title") / 4))
+    found = found.where((F.col("l.sig") == F.col("title")) | (F.abs(F.length("l.sig") - F.length("title")) <= most) & (F.levenshtein(F.col("l.sig"), F.col("title"), TITLE_EDITS).between(0, most)))
     return (
         found.select("name", "key", F.lit("header").alias("kind"))
         .unionByName(each.where("l.number and l.sig = ''").unionByName(found.where("l.number").select(*each.columns)).select("name", "key", F.lit("page_number").alias("kind")))
