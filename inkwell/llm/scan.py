@@ -105,6 +105,8 @@ def _word_buckets(word: str) -> tuple[int, int]:
 
 #: Code points that stand for the halves of a split character in contexts.
 _PRIVATE = {v: 0xE000 + i for i, v in enumerate(SPLIT.values())}
+_READ = {sign: read for read, sign in _PRIVATE.items()}
+_SIGN = re.compile(f"[{''.join(map(chr, _READ))}]")
 
 
 @lru_cache(None)
@@ -396,25 +398,26 @@ def is_split_word(a: str, b: str, words: Words) -> bool:
     return not (marked > words.n(a + b) and marked * 20 >= min(words.n(a), words.n(b)))
 
 
-def scan_lines(records: DataFrame, counts: np.ndarray) -> DataFrame:
+def scan_lines(records: DataFrame, counts: np.ndarray | None) -> DataFrame:
     """(name, key, doc, page, hyphen, misread, lines): what can be told of each record by itself.
 
     records(name, key, doc, page, text, inside): inside says whether running lines may stand anywhere
     (a question that goes over a page) or only at head and foot. lines holds the places that may be
-    a running title or a page number: array of (sig, number).
+    a running title or a page number: array of (sig, number). Without counts hyphen and misread are false.
     """
-    known = records.sparkSession.sparkContext.broadcast(counts)
+    known = None if counts is None else records.sparkSession.sparkContext.broadcast(counts)
     line = pa.struct([("sig", pa.string()), ("number", pa.bool_())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(known.value)
+        words = known and Words(known.value)
         for p in it:
             raw = p.column("text").to_pylist()
             cps, offsets = canonical_points(raw)
             texts = strings(cps, offsets)
-            padded, starts = _padded(cps, offsets)
-            misread = _misread_texts(texts, padded, starts, words)
-            hyphen = [bool(MARKED_END.search(t)) and any(is_split_word(m[1], m[2], words) for m in SPLIT_WORD.finditer(t)) for t in raw]
+            misread, hyphen = np.zeros(len(raw), bool), [False] * len(raw)
+            if words:
+                misread = _misread_texts(texts, *_padded(cps, offsets), words)
+                hyphen = [bool(MARKED_END.search(t)) and any(is_split_word(m[1], m[2], words) for m in SPLIT_WORD.finditer(t)) for t in raw]
             lines = [edge_lines(t, n, i) for t, n, i in zip(texts, p.column("page").to_pylist(), p.column("inside").to_pylist())]
             ends = np.cumsum([0, *map(len, lines)])
             each = pa.StructArray.from_arrays([pa.array([l[k] for own in lines for l in own], t.type) for k, t in enumerate(line)], fields=list(line))
@@ -482,16 +485,20 @@ def _form(title):
     return F.when(F.length(bare) > size, F.right(bare, size))
 
 
-def running_titles(lines: DataFrame) -> DataFrame:
-    """(doc, title): signatures that return at the edges of enough pages of a document, and those of a form
-    known from other documents that stand off page 1 of a document with page numbers or other titles."""
+def title_places(lines: DataFrame) -> DataFrame:
+    """One row for each different signature at the edges of a document's pages, with the pages it stands on."""
     pages = lines.groupBy("doc").agg(F.count_distinct(F.when(F.col("name") == "page_texts", F.col("page"))).alias("pages"))
     each = lines.select("doc", "name", "page", "key", F.explode("lines").alias("l")).where("length(l.sig) >= 4")
     on = each.groupBy("doc", F.col("l.sig").alias("title")).agg(
         F.count_distinct(F.when(F.col("name") == "page_texts", F.col("page"))).alias("p"), F.count_distinct(F.when(F.col("name") != "page_texts", F.col("key"))).alias("q"), F.max(F.when(F.col("name") == "page_texts", F.col("page"))).alias("last")
     )
     enough = (F.col("p") >= TITLE_PAGES) & (F.col("p") >= TITLE_SHARE * F.col("pages")) | (F.col("q") >= 3) & (F.col("p") >= 1)
-    on = cut(on.join(pages, "doc").withColumn("enough", enough).withColumn("form", _form(F.col("title"))))
+    return on.join(pages, "doc").withColumn("enough", enough).withColumn("form", _form(F.col("title")))
+
+
+def running_titles(lines: DataFrame, on: DataFrame) -> DataFrame:
+    """(doc, title): signatures of title_places that return at the edges of enough pages of a document, and those of a
+    form known from other documents that stand off page 1 of a document with page numbers or other titles."""
     sure = on.where("enough")
     forms = sure.where("form is not null").groupBy("form").agg(F.count_distinct("doc").alias("docs"), F.max(F.length("title")).alias("most")).where(F.col("docs") >= FORM_DOCS)
     numbered = lines.where("name = 'page_texts' and exists(lines, l -> l.sig = '' and l.number)").select("doc")
@@ -500,6 +507,16 @@ def running_titles(lines: DataFrame) -> DataFrame:
     return sure.select("doc", "title").unionByName(more.select("doc", "title"))
 
 
+def title_forms(on: DataFrame, titles: DataFrame) -> DataFrame:
+    """(doc, sig): signatures of title_places that are a running title of their document or a few edits off. Each
+    different signature is compared once, and with titles of about its length only: a large document has many lines."""
+    most = F.least(F.lit(TITLE_EDITS), F.floor(F.length("title") / 4)).cast("int")
+    near = titles.select("doc", "title", most.alias("most"), F.explode(F.sequence(F.length("title") - most, F.length("title") + most)).alias("n"))
+    own = on.select("doc", F.col("title").alias("sig"), F.length("title").alias("n"))
+    alike = (F.col("sig") == F.col("title")) | F.levenshtein(F.col("sig"), F.col("title"), TITLE_EDITS).between(0, F.col("most"))
+    return own.join(near, ["doc", "n"]).where(alike).select("doc", "sig").distinct()
+
+
 def scan_noise(records: DataFrame) -> DataFrame:
     """(name, key, kind): the kinds of noise in each of records(name, key, doc, page, text, inside).
 
@@ -508,12 +525,11 @@ def scan_noise(records: DataFrame) -> DataFrame:
     """
     records = records.where("key is not null and text is not null and text <> ''").select("name", "key", "doc", F.col("page").cast("int").alias("page"), "text", "inside")
     lines = cut(scan_lines(records, corpus_counts(records)))
-    titles = cut(running_titles(lines.where("doc is not null")))
+    known = lines.where("doc is not null")
+    on = cut(title_places(known))
+    forms = cut(title_forms(on, running_titles(known, on)))
     each = lines.select("name", "key", "doc", F.explode("lines").alias("l"))
-    found = each.where("length(l.sig) >= 4").join(titles, "doc")
-    # Equal ones and lengths first: a large document has many lines and titles.
-    most = F.least(F.lit(TITLE_EDITS), F.floor(F.length("title") / 4))
-    found = found.where((F.col("l.sig") == F.col("title")) | (F.abs(F.length("l.sig") - F.length("title")) <= most) & (F.levenshtein(F.col("l.sig"), F.col("title"), TITLE_EDITS).between(0, most)))
+    found = each.where("length(l.sig) >= 4").withColumn("sig", F.col("l.sig")).join(forms, ["doc", "sig"], "left_semi")
     return (
         found.select("name", "key", F.lit("header").alias("kind"))
         .unionByName(each.where("l.number and l.sig = ''").unionByName(found.where("l.number").select(*each.columns)).select("name", "key", F.lit("page_number").alias("kind")))
@@ -556,32 +572,43 @@ def _joined(lines: list[str]) -> list[str]:
     return out
 
 
-def repair_text(text: str, page: int | None, inside: bool, titles: list[str], words: Words) -> str:
-    """One record's text without running titles and page numbers, split words joined, misread signs
-    and words decoded, broken lines put together."""
-    text = SPLIT_WORD.sub(lambda m: m[1] + m[2] + "\n" if is_split_word(m[1], m[2], words) else m[0], text)
-    lines = canonical([text])[0].split("\n")
+def repair_texts(texts: list[str], pages: list[int | None], inside: list[bool], titles: list[list[str] | None], words: Words) -> list[str]:
+    """The texts without running titles and page numbers, split words joined, misread signs and words
+    decoded, broken lines put together."""
+    texts = canonical([SPLIT_WORD.sub(lambda m: m[1] + m[2] + "\n" if is_split_word(m[1], m[2], words) else m[0], t) if MARKED_END.search(t) else t for t in texts])
+    flows = [_body(*x) for x in zip(texts, pages, inside, titles)]
+    for k, fixed in enumerate(_misread_signs(flows, words.counts)):
+        if fixed:
+            signs = list(flows[k])
+            for at, c in fixed.items():
+                signs[at] = chr(c)
+            flows[k] = "".join(signs)
+        if _SIGN.search(flows[k]):
+            flows[k] = flows[k].translate(_READ)
+    own = [LATIN_WORD.findall(f) for f in flows]
+    wrong = words.wrong({w for x in own for w in x})
+    if wrong:
+        flows = [LATIN_WORD.sub(lambda m: wrong.get(m[0], m[0]), f) if any(w in wrong for w in x) else f for f, x in zip(flows, own)]
+    return [re.sub(r"\n{3,}", "\n\n", f).strip("\n") for f in flows]
+
+
+def _body(text: str, page: int | None, inside: bool, titles: list[str] | None) -> str:
+    """A text in one form without running titles and page numbers, broken lines put together, split characters as one private sign."""
+    lines = text.split("\n")
     full = [i for i, l in enumerate(lines) if l.strip()]
     edge = set(full if inside else full[:EDGE_LINES] + full[-EDGE_LINES:])
     kept = []
     for i, line in enumerate(lines):
         if i in edge and len(line) <= LONGEST_TITLE:
             sig, number = title_parts(line.strip(), page)
-            if number and not sig or len(sig) >= 4 and any(_near(sig, t, min(TITLE_EDITS, len(t) // 4)) for t in titles):
+            if number and not sig or len(sig) >= 4 and any(_near(sig, t, min(TITLE_EDITS, len(t) // 4)) for t in titles or ()):
                 continue
         kept.append(line.strip())
     flow = "\n".join(_joined(kept))
     for read, sign in _PRIVATE.items():
-        flow = flow.replace(read, chr(sign))
-    signs = list(flow)
-    for at, c in _misread_signs([flow], words.counts)[0].items():
-        signs[at] = chr(c)
-    back = {chr(sign): read for read, sign in _PRIVATE.items()}
-    flow = "".join(back.get(c, c) for c in signs)
-    wrong = words.wrong(set(LATIN_WORD.findall(flow)))
-    if wrong:
-        flow = LATIN_WORD.sub(lambda m: wrong.get(m[0], m[0]), flow)
-    return re.sub(r"\n{3,}", "\n\n", flow).strip("\n")
+        if read in flow:
+            flow = flow.replace(read, chr(sign))
+    return flow
 
 
 def repaired_texts(records: DataFrame) -> DataFrame:
@@ -592,13 +619,19 @@ def repaired_texts(records: DataFrame) -> DataFrame:
     records = records.where("key is not null").select("name", "key", "doc", F.col("page").cast("int").alias("page"), "text", "inside")
     full = records.where("text is not null and text <> ''")
     counts = corpus_counts(full)
-    titles = cut(running_titles(scan_lines(full, counts).where("doc is not null"))).groupBy("doc").agg(F.collect_set("title").alias("titles"))
+    lines = cut(scan_lines(full, None).where("doc is not null"))
+    titles = cut(running_titles(lines, cut(title_places(lines)))).groupBy("doc").agg(F.collect_set("title").alias("titles"))
     known = records.sparkSession.sparkContext.broadcast(counts)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words(known.value)
         for p in it:
-            texts = [t if not t else repair_text(t, None if g != g or g is None else int(g), i, [] if own is None else list(own), words) for t, g, i, own in zip(p["text"], p["page"], p["inside"], p["titles"])]
+            texts = p["text"].tolist()
+            at = [i for i, t in enumerate(texts) if t]
+            pages = [None if g != g or g is None else int(g) for g in p["page"]]
+            own = repair_texts(*([x[i] for i in at] for x in (texts, pages, p["inside"].tolist(), [None if x is None else list(x) for x in p["titles"]])), words)
+            for i, t in zip(at, own):
+                texts[i] = t
             yield pd.DataFrame({"name": p["name"], "key": p["key"], "text": texts, "changed": [a != b for a, b in zip(texts, p["text"])]})
 
     return records.join(titles, "doc", "left").select("name", "key", "page", "text", "inside", "titles").mapInPandas(run, "name string, key string, text string, changed boolean")

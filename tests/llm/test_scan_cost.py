@@ -47,3 +47,37 @@ def test_edges_of_pages_and_questions():
     assert [s for s, _ in scan.edge_lines(text, 1, True)] == ["一行字一", "二行字二", "三行字三", "四行字四", "五行字五"]
     assert scan.edge_lines("甲乙丙\n\n\n\n\n", 1, False) == [("甲乙丙", False)] and scan.edge_lines("\n\n", 1, False) == []
     assert scan.edge_lines("甲乙丙 7\n正文到此为止。\n- 7 -", 7, False) == [("甲乙丙", False), ("", True)]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_forms_of_titles_equal_brute_force(spark):
+    random.seed(6)
+    titles = [("d", "林丽读本第六辑"), ("d", "讲评与练习"), ("d", "讲评与练"), ("e", "林丽读本第九十九辑上册")]
+    own = {("d", "林丽读本第六辑"), ("e", "讲评与练习")}
+    for doc, t in titles * 60:
+        x = list(t)
+        for _ in range(random.randint(0, 3)):
+            i = random.randrange(len(x))
+            x[i : i + 1] = random.choice(([], [random.choice("林丽右")], [x[i], "了"]))
+        own |= {(doc, "".join(x))} if len(x) > 3 else set()
+    want = {(d, s) for d, s in own if any(d == e and edits(s, t) <= min(2, len(t) // 4) for e, t in titles)}
+    got = scan.title_forms(spark.createDataFrame(sorted(own), "doc string, title string"), spark.createDataFrame(titles, "doc string, title string")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and len(want) < len(own) - 20
+
+
+def test_repair_goes_over_whole_batches(monkeypatch):
+    calls = []
+    for f in ("canonical", "_misread_signs"):
+        monkeypatch.setattr(scan, f, lambda *a, f=getattr(scan, f), n=f: calls.append(n) or f(*a))
+    words = scan.Words(np.zeros(scan.BUCKETS, np.int32))
+    texts = ["讲评与练习\nThe b0at is old.", "正文。\n- 2 -", "Nor-\ngre sleeps."]
+    assert scan.repair_texts(texts, [1, 2, 3], [False] * 3, [["讲评与练习"], None, []], words) == ["The boat is old.", "正文。", "Norgre\nsleeps."]
+    assert calls == ["canonical", "_misread_signs"]
